@@ -11,14 +11,17 @@ from canasta.sources.text import RAW_SCHEMA, explode_items, number_rows, parse_r
 
 
 def new_transaction_rows(
-    spark: SparkSession, directory: str, max_files_per_batch: int | None = None
+    spark: SparkSession,
+    directory: str,
+    max_files_per_batch: int | None = None,
+    pattern: str = fixed.TRANSACTION_FILES,
 ) -> DataFrame:
     """Stream of raw lines of the transaction files that appear in a directory."""
     reader = (
         spark.readStream.schema(RAW_SCHEMA)
         .option("sep", fixed.FIELD_SEPARATOR)
         .option("header", False)
-        .option("pathGlobFilter", fixed.TRANSACTION_FILES)
+        .option("pathGlobFilter", pattern)
     )
     if max_files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
@@ -34,6 +37,7 @@ def append_new_files(
     checkpoint_path: str,
     strict: bool = True,
     max_files_per_batch: int | None = None,
+    pattern: str = fixed.TRANSACTION_FILES,
 ) -> StreamingQuery:
     """Processes all files not yet ingested, then stops.
 
@@ -48,7 +52,7 @@ def append_new_files(
         fact.write.mode("overwrite").parquet(f"{fact_path}/batch_id={batch_id}")
 
     return (
-        new_transaction_rows(spark, directory, max_files_per_batch)
+        new_transaction_rows(spark, directory, max_files_per_batch, pattern)
         .writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
