@@ -8,14 +8,28 @@ from pyspark.sql import functions as F
 from canasta import fixed
 from canasta.functions.distribution import describe_counts
 from canasta.functions.ranking import top_k
+from canasta.operators.enrich import names_are_unique, with_category_names
+from canasta.operators.grain import unnest
 
 
 def units_per_client(txns: DataFrame) -> DataFrame:
     return txns.groupBy("client_id").agg(F.sum("basket_size").alias("total_units"))
 
 
-def units_per_category_and_transaction(named_lines: DataFrame) -> DataFrame:
-    """Units of each category name in each transaction."""
+def category_units(lines: DataFrame, categories: DataFrame) -> DataFrame:
+    """Units of each category name in each transaction, from the exploded fact."""
+    return _per_name(with_category_names(lines, categories))
+
+
+def category_units_of_baskets(baskets: DataFrame, categories: DataFrame) -> DataFrame:
+    """The same from baskets: row-local, unless two categories share a name."""
+    named = with_category_names(unnest(baskets), categories)
+    if not names_are_unique(categories):
+        return _per_name(named)
+    return named.select("category_name", "transaction_id", F.col("quantity").alias("units"))
+
+
+def _per_name(named_lines: DataFrame) -> DataFrame:
     return named_lines.groupBy("category_name", "transaction_id").agg(
         F.sum("quantity").alias("units")
     )
@@ -53,24 +67,18 @@ def outlier_clients(txns: DataFrame, n: int = fixed.OUTLIER_TOP_N) -> DataFrame:
     )
 
 
-def category_basket_stats(named_lines: DataFrame) -> DataFrame:
+def category_basket_stats(units: DataFrame) -> DataFrame:
     """Distribution of units per transaction for every category name."""
-    units = units_per_category_and_transaction(named_lines)
     return describe_counts(units, "units", ["category_name"], decimals=4).orderBy(
         F.desc("count"), "category_name"
     )
 
 
 def most_frequent_categories(
-    named_lines: DataFrame, n: int = fixed.TOP_FREQUENT_CATEGORIES
+    units: DataFrame, n: int = fixed.TOP_FREQUENT_CATEGORIES
 ) -> DataFrame:
     """Categories in the largest number of transactions."""
-    counts = (
-        named_lines.select("category_name", "transaction_id")
-        .distinct()
-        .groupBy("category_name")
-        .agg(F.count(F.lit(1)).alias("num_transactions"))
-    )
+    counts = units.groupBy("category_name").agg(F.count(F.lit(1)).alias("num_transactions"))
     return top_k(counts, [F.desc("num_transactions"), F.asc("category_name")], n)
 
 

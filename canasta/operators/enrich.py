@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canasta import fixed
 from canasta.functions.columns import category_display_name
 from canasta.session import broadcast_if_small
 
@@ -37,3 +38,16 @@ def name_categories(
         *[df[c] for c in df.columns],
         category_display_name(F.col("_name"), df[id_column]).alias(name_column),
     )
+
+
+def names_are_unique(categories: DataFrame) -> bool:
+    """Whether no two category ids can end up with the same name.
+
+    A dimension name of the generic form could meet that of an unknown id.
+    """
+    doubtful = categories.groupBy("category_name").agg(F.count(F.lit(1)).alias("n")).filter(
+        (F.col("n") > 1)
+        | F.col("category_name").isNull()
+        | F.col("category_name").rlike(f"^{fixed.UNKNOWN_CATEGORY_PREFIX}-?[0-9]+$")
+    )
+    return doubtful.isEmpty()

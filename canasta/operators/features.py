@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canasta import fixed
-from canasta.operators.grain import client_items
 
 
-def client_features(lines: DataFrame, txns: DataFrame) -> DataFrame:
+def client_features(txns: DataFrame, client_categories: DataFrame) -> DataFrame:
     """One row per client with the seven behaviour features.
 
-    Everything but the category diversity comes from the transactions, reduced to
-    (client, store, day) before the two distinct counts. Every grouping shrinks
-    map-side, so a hot client costs no more than its stores, days and categories.
+    ``client_categories`` are the distinct (client, category) pairs. All other
+    features come from the transactions, reduced to (client, store, day) before
+    the two distinct counts. Every grouping shrinks map-side, so a hot client
+    costs no more than its stores, days and categories.
     """
     visits = txns.groupBy("client_id", "store_id", "date").agg(
         F.count(F.lit(1)).alias("visits"),
@@ -33,10 +33,8 @@ def client_features(lines: DataFrame, txns: DataFrame) -> DataFrame:
         F.countDistinct("store_id").alias("num_stores_visited"),
         F.countDistinct("date").alias("active_days"),
     )
-    diversity = (
-        client_items(lines)
-        .groupBy("client_id")
-        .agg(F.count("category_id").alias("category_diversity"))
+    diversity = client_categories.groupBy("client_id").agg(
+        F.count("category_id").alias("category_diversity")
     )
     return (
         behaviour.join(diversity, "client_id", "left")

@@ -1,9 +1,8 @@
 """Association rules between categories.
 
-Baskets are sets: a category bought twice in one transaction counts once. Only
-categories that can reach the minimum support enter the pair stage, and there a
-basket is a bit mask, so one hash aggregation with map-side combine (and one
-shuffle of 8 bytes per 64 categories) turns fact rows into baskets of any size.
+Everything here starts from baskets (one row per transaction with nested items)
+and stays row-local up to the final counts: a category bought twice in one
+transaction counts once, and only frequent categories enter the pair stage.
 """
 
 from __future__ import annotations
@@ -18,11 +17,6 @@ from canasta import fixed
 from canasta.functions.columns import is_finite
 from canasta.functions.ranking import top_k, top_k_per_group
 from canasta.operators.enrich import name_categories
-from canasta.operators.grain import basket_items
-
-_WORD = 64
-#: Above this many candidate categories baskets are joined instead of masked.
-MASK_MAX_CATEGORIES = 1024
 
 RULE_COLUMNS = [
     "antecedent_id",
@@ -38,145 +32,89 @@ RULE_COLUMNS = [
 # ---- baskets ----------------------------------------------------------------
 
 
-def count_baskets(lines: DataFrame) -> int:
-    return lines.select(F.countDistinct("transaction_id")).first()[0]
-
+def basket_sets(baskets: DataFrame) -> DataFrame:
+    """transaction_id and ``items`` as the ascending array of distinct category ids."""
+    return baskets.select("transaction_id", F.col("items.category_id").alias("items"))
 
-def candidate_categories(lines: DataFrame, n_baskets: int, min_support: float) -> list[int]:
-    """Categories whose fact rows alone could reach the minimum support.
 
-    A category has at most one basket per row, so fewer rows than
-    min_support * n_baskets rule it out; the grouping needs no distinct and
-    shuffles one row per category and task. The candidates number at most
-    (rows per basket) / min_support, hence a short list.
-    """
-    rows = lines.groupBy("category_id").agg(F.count(F.lit(1)).alias("rows"))
-    frequent = rows.filter(F.col("rows") >= F.lit(float(min_support * n_baskets)) * (1 - 1e-9))
-    return sorted(row.category_id for row in frequent.select("category_id").toLocalIterator())
+def sample_baskets(baskets: DataFrame, fraction: float, seed: int = fixed.SEED) -> DataFrame:
+    """Whole transactions chosen by a hash of their id; optional, nothing here needs it."""
+    slots = 1_000_000
+    slot = F.pmod(F.xxhash64(F.lit(seed), F.col("transaction_id")), F.lit(slots))
+    return baskets.filter(slot < int(round(fraction * slots)))
 
 
-def _positions(lines: DataFrame, candidates: Sequence[int]) -> DataFrame:
-    rows = [(c, i // _WORD, i % _WORD) for i, c in enumerate(candidates)]
-    return lines.sparkSession.createDataFrame(rows, "category_id INT, _word INT, _bit INT")
+# ---- supports and co-occurrence ---------------------------------------------
 
 
-def _masked(lines: DataFrame, candidates: Sequence[int], keep_all: bool) -> DataFrame:
-    """transaction_id and ``items``: ascending positions in ``candidates``."""
-    placed = lines.select("transaction_id", "category_id").join(
-        F.broadcast(_positions(lines, candidates)),
-        "category_id",
-        "left" if keep_all else "inner",
-    )
-    words = range((len(candidates) + _WORD - 1) // _WORD)
-    bit = F.expr("shiftleft(1L, _bit)")
-    masks = placed.groupBy("transaction_id").agg(
-        *[
-            F.coalesce(
-                F.bit_or(F.when(F.col("_word") == w, bit)), F.lit(0).cast("bigint")
-            ).alias(f"_mask{w}")
-            for w in words
-        ]
+def category_counts(baskets: DataFrame) -> DataFrame:
+    """Baskets containing each category; a task ships one row per category."""
+    return (
+        basket_sets(baskets)
+        .select(F.explode("items").alias("category_id"))
+        .groupBy("category_id")
+        .agg(F.count(F.lit(1)).alias("count"))
     )
 
-    def members(w: int) -> Column:
-        first, last = w * _WORD, min((w + 1) * _WORD, len(candidates)) - 1
-        return F.filter(
-            F.sequence(F.lit(first), F.lit(last)),
-            lambda i: F.bit_get(F.col(f"_mask{w}"), i - F.lit(first)) == 1,
-        )
 
-    return masks.select("transaction_id", F.concat(*[members(w) for w in words]).alias("items"))
-
-
-def baskets(lines: DataFrame, candidates: Sequence[int] | None = None) -> DataFrame:
-    """transaction_id and ``items``, the ascending array of its (candidate) categories.
-
-    With ``candidates`` other categories are left out but every transaction stays,
-    so supports keep their denominator. An array is at most as long as the
-    candidate list or, without one, the category catalogue.
-    """
-    if candidates and len(candidates) <= MASK_MAX_CATEGORIES:
-        ids = F.lit(list(candidates))
-        return _masked(lines, candidates, keep_all=True).select(
-            "transaction_id", F.transform("items", lambda i: F.get(ids, i)).alias("items")
-        )
-    category = F.col("category_id")
-    if candidates is not None:
-        category = F.when(category.isin(list(candidates)), category)
-    return lines.groupBy("transaction_id").agg(
-        F.sort_array(F.collect_set(category)).alias("items")
-    )
-
-
-def sample_baskets(lines: DataFrame, fraction: float, seed: int = fixed.SEED) -> DataFrame:
-    """Whole transactions chosen by a hash of their id; optional, nothing here needs it."""
-    slots = 1_000_000
-    slot = F.pmod(F.xxhash64(F.lit(seed), F.col("transaction_id")), F.lit(slots))
-    return lines.filter(slot < int(round(fraction * slots)))
-
-
-# ---- supports and co-occurrence ---------------------------------------------
+def _with_support(baskets: DataFrame, min_support: float, n_baskets: int) -> DataFrame:
+    support = F.col("count").cast("double") / F.lit(float(n_baskets))
+    counted = category_counts(baskets).withColumn("support", support)
+    return counted.filter(F.col("support") >= min_support)
 
 
 def category_support(
-    lines: DataFrame,
+    baskets: DataFrame,
     categories: DataFrame,
     min_support: float = fixed.MIN_SUPPORT,
     n_baskets: int | None = None,
 ) -> DataFrame:
     """Baskets containing each category, for those that reach the support."""
-    total = count_baskets(lines) if n_baskets is None else n_baskets
-    counts = basket_items(lines).groupBy("category_id").agg(F.count(F.lit(1)).alias("count"))
-    support = F.col("count").cast("double") / F.lit(float(total))
+    total = baskets.count() if n_baskets is None else n_baskets
+    frequent = _with_support(baskets, min_support, total)
     return (
-        name_categories(counts.filter(support >= min_support), categories)
-        .select(
-            "category_id", "category_name", "count", F.round(support, 4).alias("support")
-        )
+        name_categories(frequent, categories)
+        .select("category_id", "category_name", "count", F.round("support", 4).alias("support"))
         .orderBy(F.desc("support"), "category_id")
     )
 
 
-def pair_counts(lines: DataFrame, candidates: Sequence[int]) -> DataFrame:
+def frequent_categories(
+    baskets: DataFrame, min_support: float, n_baskets: int | None = None
+) -> list[int]:
+    """Ids of the categories that reach the support.
+
+    Each fills min_support of all baskets, so there are at most
+    (mean distinct categories per basket) / min_support of them: a short list
+    whatever the size of the data or of the catalogue.
+    """
+    total = baskets.count() if n_baskets is None else n_baskets
+    ids = _with_support(baskets, min_support, total).select("category_id")
+    return sorted(row.category_id for row in ids.toLocalIterator())
+
+
+def pair_counts(baskets: DataFrame, frequent: Sequence[int]) -> DataFrame:
     """Baskets holding both categories, for every ordered pair including (x, x).
 
-    Each basket lists its unordered pairs once; they are counted map-side, so a
-    task ships at most one row per pair of candidates. Both orders come from
-    mirroring the counted pairs.
+    A basket keeps its frequent categories only (see there for the bound on
+    their number) and lists each unordered pair once; pairs are counted map-side,
+    so a task ships at most one row per pair of frequent categories. Both orders
+    come from mirroring the counts.
     """
-    if not candidates:
-        return lines.sparkSession.createDataFrame([], "x INT, y INT, num_baskets BIGINT")
-    if len(candidates) <= MASK_MAX_CATEGORIES:
-        ids = F.lit(list(candidates))
-        later = F.slice("items", F.col("_pos") + 1, F.size("items"))
-        half = (
-            _masked(lines, candidates, keep_all=False)
-            .select("items", F.posexplode("items").alias("_pos", "_x"))
-            .select("_x", F.explode(later).alias("_y"))
-            .groupBy("_x", "_y")
-            .agg(F.count(F.lit(1)).alias("num_baskets"))
-            .select(F.get(ids, F.col("_x")).alias("x"), F.get(ids, F.col("_y")).alias("y"), "num_baskets")
-        )
-    else:
-        items = basket_items(lines.filter(F.col("category_id").isin(list(candidates))))
-        left = items.select("transaction_id", F.col("category_id").alias("x"))
-        right = items.select("transaction_id", F.col("category_id").alias("y"))
-        half = (
-            left.join(right, "transaction_id")
-            .filter(F.col("x") <= F.col("y"))
-            .groupBy("x", "y")
-            .agg(F.count(F.lit(1)).alias("num_baskets"))
-        )
-    both = F.when(
-        F.col("x") == F.col("y"), F.array(F.struct("x", "y"))
-    ).otherwise(
-        F.array(
-            F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))
-        )
-    )
-    return half.select(F.explode(both).alias("_pair"), "num_baskets").select(
-        "_pair.x", "_pair.y", "num_baskets"
+    kept = F.filter("items", lambda category: category.isin(list(frequent)))
+    rest = F.slice("items", F.col("_pos") + 1, F.size("items"))
+    half = (
+        basket_sets(baskets)
+        .select(kept.alias("items"))
+        .select("items", F.posexplode("items").alias("_pos", "x"))
+        .select("x", F.explode(rest).alias("y"))
+        .groupBy("x", "y")
+        .agg(F.count(F.lit(1)).alias("num_baskets"))
     )
+    as_is = F.struct("x", "y")
+    swapped = F.struct(F.col("y").alias("x"), F.col("x").alias("y"))
+    orders = F.when(F.col("x") == F.col("y"), F.array(as_is)).otherwise(F.array(as_is, swapped))
+    return half.select(F.inline(orders), "num_baskets")
 
 
 # ---- rules ------------------------------------------------------------------
@@ -187,16 +125,20 @@ def _rule_order() -> list[Column]:
 
 
 def association_rules(
-    lines: DataFrame,
+    baskets: DataFrame,
     categories: DataFrame,
     min_support: float = fixed.MIN_SUPPORT,
     min_confidence: float = fixed.MIN_CONFIDENCE,
     min_lift: float = fixed.MIN_LIFT,
     n_baskets: int | None = None,
 ) -> DataFrame:
-    """All rules antecedent -> consequent that pass the three (unrounded) thresholds."""
-    total = count_baskets(lines) if n_baskets is None else n_baskets
-    pairs = pair_counts(lines, candidate_categories(lines, total, min_support))
+    """All rules antecedent -> consequent that pass the three (unrounded) thresholds.
+
+    ``baskets`` is scanned twice (three times without ``n_baskets``), so it is
+    best a stored table.
+    """
+    total = baskets.count() if n_baskets is None else n_baskets
+    pairs = pair_counts(baskets, frequent_categories(baskets, min_support, total))
     # The (x, x) row of the pair table holds the count of x itself.
     own_count = F.when(F.col("x") == F.col("y"), F.col("num_baskets"))
     n = F.lit(float(total))
@@ -267,7 +209,7 @@ def nested_index(index: DataFrame) -> DataFrame:
 
 
 def rule_metadata(
-    lines: DataFrame,
+    baskets: DataFrame,
     rules: DataFrame,
     min_support: float = fixed.MIN_SUPPORT,
     min_confidence: float = fixed.MIN_CONFIDENCE,
@@ -275,8 +217,8 @@ def rule_metadata(
     n_baskets: int | None = None,
 ) -> DataFrame:
     """One row: baskets, categories, thresholds and the number of rules."""
-    total = count_baskets(lines) if n_baskets is None else n_baskets
-    category_count = lines.select(F.countDistinct("category_id").alias("n")).scalar()
+    total = baskets.count() if n_baskets is None else n_baskets
+    category_count = category_counts(baskets).select(F.count(F.lit(1)).alias("n")).scalar()
     return rules.agg(F.count(F.lit(1)).alias("total_rules")).select(
         F.lit(total).cast("bigint").alias("n_transactions"),
         category_count.alias("n_categories"),
@@ -291,17 +233,13 @@ def rule_metadata(
 
 
 def fit_fpgrowth(
-    lines: DataFrame,
+    baskets: DataFrame,
     min_support: float = fixed.MIN_SUPPORT,
     min_confidence: float = fixed.MIN_CONFIDENCE,
-    n_baskets: int | None = None,
 ) -> FPGrowthModel:
-    """FP-Growth over the baskets; categories that cannot be frequent are left out first."""
-    total = count_baskets(lines) if n_baskets is None else n_baskets
-    candidates = candidate_categories(lines, total, min_support)
     return FPGrowth(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence
-    ).fit(baskets(lines, candidates))
+    ).fit(basket_sets(baskets))
 
 
 def fpgrowth_rules(
@@ -320,6 +258,6 @@ def fpgrowth_rules(
     return finish_rules(single.filter(F.col("lift") >= min_lift), categories)
 
 
-def suggest_for_baskets(model: FPGrowthModel, basket_arrays: DataFrame) -> DataFrame:
+def suggest_for_baskets(model: FPGrowthModel, baskets: DataFrame) -> DataFrame:
     """Categories missing from each basket that the model's rules suggest."""
-    return model.transform(basket_arrays).withColumnRenamed("prediction", "suggestions")
+    return model.transform(basket_sets(baskets)).withColumnRenamed("prediction", "suggestions")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -18,12 +19,14 @@ from canasta.functions.distribution import exact_quantiles
 from canasta.functions.ranking import top_k_per_group
 from canasta.operators.enrich import with_category_names
 from canasta.operators.features import client_sample
-from canasta.operators.grain import client_items
 from canasta.session import is_small
 
 #: Segment counts up to which per-segment tables are broadcast.
 FEW_SEGMENTS = 10_000
 
+#: Clients per k-means partition: some tens of MB of vectors.
+CLIENTS_PER_PARTITION = 50_000
+
 
 def has_few_segments(segments: DataFrame) -> bool:
     return is_small(segments.select("segment_id").distinct(), FEW_SEGMENTS)
@@ -75,26 +78,27 @@ def fit_segments(
     seed: int = fixed.SEED,
     n_init: int = 1,
     max_iter: int = 20,
-    partitions: int = 32,
+    parallelism: int = 4,
 ) -> Segmentation:
     """k-means for every k, the best silhouette kept, segments renumbered by size.
 
-    Rows are placed by client id over a fixed number of partitions and sorted
-    there, because MLlib's seeding depends on the row layout: the same clients
-    give the same segments however they arrive. Raise ``partitions`` with the
-    number of clients. Only centres and scores reach the driver.
+    Rows are placed by client id and sorted inside each partition, and the number
+    of partitions follows from the number of clients alone, because MLlib's
+    seeding depends on the row layout: the same clients give the same segments
+    however they arrive. ``parallelism`` models are fitted at a time. Only centres
+    and scores reach the driver.
     """
     columns = list(fixed.SEGMENT_FEATURES)
+    features = features.select("client_id", *columns).persist(StorageLevel.MEMORY_AND_DISK)
+    n_clients = features.count()
     placed = (
-        features.select("client_id", *columns)
-        .repartition(partitions, "client_id")
+        features.repartition(n_clients // CLIENTS_PER_PARTITION + 1, "client_id")
         .sortWithinPartitions("client_id")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    # Plain columns are cached here; KMeans itself caches the vectors of each fit.
     vectors, mean, std = scaled_vectors(placed, columns)
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    n_clients = vectors.count()
-    placed.unpersist()
+    features.unpersist()
     # MLlib scales by the sample std; the published inertia uses the population std.
     inertia_scale = n_clients / (n_clients - 1) if n_clients > 1 else 1.0
 
@@ -104,14 +108,16 @@ def fit_segments(
         metricName="silhouette",
         distanceMeasure="squaredEuclidean",
     )
-    sweep, best = [], None
-    for k in k_values:
+
+    def attempt(k: int) -> tuple[int, float, float, KMeansModel]:
         model = _best_of(vectors, k, seed, n_init, max_iter)
         silhouette = evaluator.evaluate(model.transform(vectors))
-        sweep.append((k, model.summary.trainingCost * inertia_scale, silhouette))
-        if best is None or silhouette > best[1]:
-            best = (k, silhouette, model)
-    k, silhouette, model = best
+        return k, model.summary.trainingCost * inertia_scale, silhouette, model
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        tried = list(pool.map(attempt, k_values))
+    k, _, silhouette, model = max(tried, key=lambda t: t[2])  # the first of equals
+    sweep = [t[:3] for t in tried]
 
     clients = model.transform(vectors).select(
         "client_id", F.col("_cluster").alias("segment_id"), *columns
@@ -244,17 +250,17 @@ def segment_stats(features: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def segment_top_categories(
-    lines: DataFrame,
+    client_categories: DataFrame,
     categories: DataFrame,
     segments: DataFrame,
     n: int = fixed.SEGMENT_TOP_CATEGORIES,
 ) -> DataFrame:
     """Categories bought by the most clients of each segment.
 
-    (client, category) is made distinct before anything is joined, so a hot
-    client brings one row per category.
+    Starts from the distinct (client, category) pairs, so a hot client brings
+    one row per category into the join.
     """
-    bought = with_category_names(client_items(lines), categories).join(segments, "client_id")
+    bought = with_category_names(client_categories, categories).join(segments, "client_id")
     clients = bought.groupBy("segment_id", "category_name").agg(
         F.countDistinct("client_id").alias("num_clients")
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from canasta import fixed
 from canasta.operators import (
@@ -16,8 +15,7 @@ from canasta.operators import (
     segmentation as seg,
     timeseries,
 )
-from canasta.operators.enrich import with_category_names
-from canasta.operators.grain import transactions
+from canasta.operators.grain import client_items, unnest
 from canasta.session import materialize, tune
 from canasta.sources.marts import append_run, write_mart
 
@@ -45,12 +43,12 @@ def time_series(txns: DataFrame) -> Marts:
     }
 
 
-def boxplot_data(named_lines: DataFrame, txns: DataFrame) -> Marts:
+def boxplot_data(units: DataFrame, txns: DataFrame) -> Marts:
     return {
         "basket_size_stats": distributions.basket_size_stats(txns),
         "client_total_stats": distributions.client_total_stats(txns),
         "outlier_clients": distributions.outlier_clients(txns),
-        "category_basket_stats": distributions.category_basket_stats(named_lines),
+        "category_basket_stats": distributions.category_basket_stats(units),
         "basket_size_histogram": distributions.basket_size_histogram(txns),
     }
 
@@ -78,43 +76,43 @@ def clustering(
 
 
 def client_segments(
-    lines: DataFrame, categories: DataFrame, features: DataFrame, mapping: DataFrame
+    client_categories: DataFrame, categories: DataFrame, features: DataFrame, mapping: DataFrame
 ) -> Marts:
     return {
         "mapping": mapping,
-        "top_categories": seg.segment_top_categories(lines, categories, mapping),
+        "top_categories": seg.segment_top_categories(client_categories, categories, mapping),
         "labels": seg.segment_summary(features, mapping).select("segment_id", "label"),
     }
 
 
 def recommendations(
-    lines: DataFrame,
+    baskets: DataFrame,
     categories: DataFrame,
-    n_baskets: int,
     min_support: float = fixed.MIN_SUPPORT,
     min_confidence: float = fixed.MIN_CONFIDENCE,
     min_lift: float = fixed.MIN_LIFT,
 ) -> Marts:
     """The rule set is mined once, stored, and the other marts are views of it."""
+    n_baskets = baskets.count()
     rules = materialize(
         assoc.association_rules(
-            lines, categories, min_support, min_confidence, min_lift, n_baskets
+            baskets, categories, min_support, min_confidence, min_lift, n_baskets
         ),
         "rules",
     )
     return {
         "rules": assoc.top_rules(rules),
         "category_index": assoc.nested_index(assoc.category_index(rules)),
-        "category_support": assoc.category_support(lines, categories, min_support, n_baskets),
+        "category_support": assoc.category_support(baskets, categories, min_support, n_baskets),
         "metadata": assoc.rule_metadata(
-            lines, rules, min_support, min_confidence, min_lift, n_baskets
+            baskets, rules, min_support, min_confidence, min_lift, n_baskets
         ),
     }
 
 
 def refresh(
     spark: SparkSession,
-    lines: DataFrame,
+    baskets: DataFrame,
     categories: DataFrame,
     out_dir: str,
     fmt: str = "parquet",
@@ -123,33 +121,34 @@ def refresh(
         fixed.MIN_CONFIDENCE,
         fixed.MIN_LIFT,
     ),
-    partitions: int = 32,
     parallel_writes: int = 4,
 ) -> None:
-    """Computes every mart of ``lines`` (the fact without names) into ``out_dir``.
+    """Computes every mart of ``baskets`` into ``out_dir`` and records the run's totals.
 
-    The transaction grain and the client features are stored once in the shared
-    folder; whatever follows scans those instead of regrouping the fact. Small
-    marts leave most of a cluster idle, so a few are written at a time.
+    Baskets, (client, category) pairs and client features are stored once in the
+    shared folder; all marts scan those tables, most without any large shuffle.
+    Small marts leave most of a cluster idle, so a few are written at a time.
     """
     tune(spark)
-    txns = materialize(transactions(lines), "transactions")
-    n_baskets = txns.count()
-    features = materialize(feats.client_features(lines, txns), "client-features")
-    named_lines = with_category_names(lines, categories)
+    baskets = materialize(baskets, "baskets")
+    txns = baskets.drop("items")
+    lines = unnest(baskets)
+    client_categories = materialize(client_items(lines), "client-categories")
+    features = materialize(feats.client_features(txns, client_categories), "client-features")
+    segmentation = seg.fit_segments(features)
+    mapping = materialize(segmentation.mapping(), "segments")
 
     documents = {
         "executive_summary": executive_summary(lines, categories, txns),
         "time_series": time_series(txns),
-        "boxplot_data": boxplot_data(named_lines, txns),
+        "boxplot_data": boxplot_data(
+            distributions.category_units_of_baskets(baskets, categories), txns
+        ),
         "heatmap_data": heatmap_data(spark, features),
-        "recommendations": recommendations(lines, categories, n_baskets, *thresholds),
+        "clustering": clustering(spark, segmentation, features),
+        "client_segments": client_segments(client_categories, categories, features, mapping),
+        "recommendations": recommendations(baskets, categories, *thresholds),
     }
-    segmentation = seg.fit_segments(features, partitions=partitions)
-    mapping = materialize(segmentation.mapping(), "segments")
-    documents["clustering"] = clustering(spark, segmentation, features)
-    documents["client_segments"] = client_segments(lines, categories, features, mapping)
-
     marts = [
         (df, f"{out_dir.rstrip('/')}/{document}/{name}")
         for document, parts in documents.items()

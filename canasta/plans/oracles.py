@@ -238,6 +238,16 @@ def _support(min_support: float) -> str:
     )
 
 
+_CATEGORY_STATS = _with(
+    _FACT,
+    """, per_txn AS (SELECT category_name, CAST(sum(quantity) AS DOUBLE) AS v
+    FROM fact GROUP BY category_name, transaction_id)
+    SELECT category_name, min(v) AS min, quantile_cont(v, 0.25) AS q1,
+           quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3, max(v) AS max,
+           round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, count(*) AS count
+    FROM per_txn GROUP BY category_name""",
+)
+
 ORACLES: dict[str, str] = {
     # ---- sources and row-level steps ----
     "enriched_fact": _with(
@@ -257,6 +267,7 @@ ORACLES: dict[str, str] = {
         FROM part WHERE p_size % 5 <> 0""",
     "text_transactions": _TEXT_VISITS,
     "text_transactions_by_position": _TEXT_VISITS,
+    "text_baskets": _TEXT_VISITS,
     "text_load_report": "SELECT count(*) AS num_rows FROM lineitem",
     "text_load_summary": f"""WITH {_TEXT}
         SELECT count(*) AS total_units, count(DISTINCT transaction_id) AS total_transactions,
@@ -397,15 +408,8 @@ ORACLES: dict[str, str] = {
         """ SELECT category_name, transaction_id, CAST(sum(quantity) AS BIGINT) AS units
         FROM fact GROUP BY category_name, transaction_id""",
     ),
-    "category_basket_stats": _with(
-        _FACT,
-        """, per_txn AS (SELECT category_name, CAST(sum(quantity) AS DOUBLE) AS v
-        FROM fact GROUP BY category_name, transaction_id)
-        SELECT category_name, min(v) AS min, quantile_cont(v, 0.25) AS q1,
-               quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3, max(v) AS max,
-               round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, count(*) AS count
-        FROM per_txn GROUP BY category_name""",
-    ),
+    "category_basket_stats": _CATEGORY_STATS,
+    "category_basket_stats_of_baskets": _CATEGORY_STATS,
     "most_frequent_categories": _with(
         _FACT,
         """ SELECT category_name, count(DISTINCT transaction_id) AS num_transactions,
@@ -471,14 +475,11 @@ ORACLES: dict[str, str] = {
         ORDER BY category_id) AS items
         FROM (SELECT DISTINCT transaction_id, category_id FROM lines) GROUP BY transaction_id""",
     ),
-    "frequent_basket_arrays": _with(
+    "unnested_baskets": _with(
         _FACT,
-        """, candidates AS (SELECT category_id FROM lines GROUP BY category_id
-        HAVING count(*) >= 0.15e0 * (SELECT count(DISTINCT transaction_id) FROM lines))
-        SELECT transaction_id, coalesce(string_agg(CAST(c.category_id AS VARCHAR), ' '
-               ORDER BY c.category_id), '') AS items
-        FROM (SELECT DISTINCT transaction_id, category_id FROM lines) i
-        LEFT JOIN candidates c ON i.category_id = c.category_id GROUP BY transaction_id""",
+        """ SELECT transaction_id, strftime(date, '%Y-%m-%d') AS date, store_id, client_id,
+        category_id, CAST(sum(quantity) AS BIGINT) AS quantity FROM lines
+        GROUP BY transaction_id, lines.date, store_id, client_id, category_id""",
     ),
     "category_support": _support(fixed.MIN_SUPPORT),
     "category_pair_counts": _with(
@@ -486,6 +487,13 @@ ORACLES: dict[str, str] = {
         _RULES,
         """ SELECT x AS category_a, y AS category_b, num_baskets FROM pairs""",
     ),
+    "frequent_pair_counts": _with(
+        _FACT,
+        _RULES,
+        """, often AS (SELECT category_id FROM item_counts, n WHERE cnt / n >= 0.15e0)
+        SELECT x AS category_a, y AS category_b, num_baskets FROM pairs
+        WHERE x IN (SELECT category_id FROM often) AND y IN (SELECT category_id FROM often)""",
+    ),
     "association_rules": _with(_FACT, _RULES, f" SELECT {_RULE_LIST} FROM rules"),
     "top_rules": _top_rules(50),
     "rule_lift_bands": _with(

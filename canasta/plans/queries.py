@@ -22,7 +22,7 @@ from canasta.operators import (
     timeseries,
 )
 from canasta.operators.enrich import with_category_names
-from canasta.session import scratch_path, tune
+from canasta.session import materialize, scratch_path, tune
 from canasta.sources import marts, star, text
 from canasta.streaming import ingest
 
@@ -67,13 +67,19 @@ def _named(spark, sf_dir):
 
 def _features(spark, sf_dir):
     lines = star.lines(spark, sf_dir)
-    return feats.client_features(lines, grain.transactions(lines))
+    return feats.client_features(grain.transactions(lines), grain.client_items(lines))
+
+
+def _baskets(spark, sf_dir):
+    return materialize(grain.baskets(star.lines(spark, sf_dir)), "baskets")
 
 
 def _rules(spark, sf_dir):
-    return rules.association_rules(
-        star.lines(spark, sf_dir), star.categories(spark, sf_dir), SUPPORT, CONFIDENCE, LIFT
-    )
+    return _mined(_baskets(spark, sf_dir), star.categories(spark, sf_dir))
+
+
+def _mined(baskets, categories):
+    return rules.association_rules(baskets, categories, SUPPORT, CONFIDENCE, LIFT)
 
 
 def _index(spark, sf_dir, n=15):
@@ -81,13 +87,15 @@ def _index(spark, sf_dir, n=15):
 
 
 def _segment_recommendations(spark, sf_dir, n=20):
+    baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
     top = seg.segment_top_categories(
-        star.lines(spark, sf_dir),
-        star.categories(spark, sf_dir),
+        grain.client_items(grain.unnest(baskets)),
+        categories,
         star.market_segments(spark, sf_dir),
         5,
     )
-    return recommend.recommend_by_segment(top, _index(spark, sf_dir), n)
+    index = rules.category_index(_mined(baskets, categories))
+    return recommend.recommend_by_segment(top, index, n)
 
 
 def _segmentation(spark, sf_dir):
@@ -154,6 +162,12 @@ def text_transactions_by_position(spark, sf_dir):
     return _units_by_visit(text.read_transactions(spark, directory, stable_ids=False))
 
 
+@_query
+def text_baskets(spark, sf_dir):
+    baskets = text.read_baskets(spark, _text_directory(spark, sf_dir))
+    return _units_by_visit(grain.unnest(baskets))
+
+
 @_query
 def text_load_report(spark, sf_dir):
     raw = text.read_raw_transactions(spark, _text_directory(spark, sf_dir))
@@ -357,17 +371,31 @@ def outlier_clients(spark, sf_dir):
 
 @_query
 def category_transaction_units(spark, sf_dir):
-    return distributions.units_per_category_and_transaction(_named(spark, sf_dir))
+    return distributions.category_units(
+        star.lines(spark, sf_dir), star.categories(spark, sf_dir)
+    )
 
 
 @_query
 def category_basket_stats(spark, sf_dir):
-    return distributions.category_basket_stats(_named(spark, sf_dir))
+    return distributions.category_basket_stats(
+        distributions.category_units(star.lines(spark, sf_dir), star.categories(spark, sf_dir))
+    )
+
+
+@_query
+def category_basket_stats_of_baskets(spark, sf_dir):
+    baskets = grain.baskets(star.lines(spark, sf_dir))
+    return distributions.category_basket_stats(
+        distributions.category_units_of_baskets(baskets, star.categories(spark, sf_dir))
+    )
 
 
 @_query
 def most_frequent_categories(spark, sf_dir):
-    return distributions.most_frequent_categories(_named(spark, sf_dir))
+    return distributions.most_frequent_categories(
+        distributions.category_units(star.lines(spark, sf_dir), star.categories(spark, sf_dir))
+    )
 
 
 @_query
@@ -470,7 +498,9 @@ def given_segment_sizes(spark, sf_dir):
 @_query
 def given_segment_top_categories(spark, sf_dir):
     return seg.segment_top_categories(
-        _lines(spark, sf_dir), star.categories(spark, sf_dir), star.market_segments(spark, sf_dir)
+        grain.client_items(_lines(spark, sf_dir)),
+        star.categories(spark, sf_dir),
+        star.market_segments(spark, sf_dir),
     )
 
 
@@ -491,28 +521,34 @@ def basket_items(spark, sf_dir):
 
 @_query
 def basket_arrays(spark, sf_dir):
-    arrays = rules.baskets(_lines(spark, sf_dir))
-    return arrays.select("transaction_id", F.array_join("items", " ").alias("items"))
+    sets = rules.basket_sets(grain.baskets(_lines(spark, sf_dir)))
+    return sets.select("transaction_id", F.array_join("items", " ").alias("items"))
 
 
 @_query
-def frequent_basket_arrays(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    candidates = rules.candidate_categories(lines, rules.count_baskets(lines), 0.15)
-    arrays = rules.baskets(lines, candidates)
-    return arrays.select("transaction_id", F.array_join("items", " ").alias("items"))
+def unnested_baskets(spark, sf_dir):
+    return grain.unnest(grain.baskets(_lines(spark, sf_dir)))
 
 
 @_query
 def category_support(spark, sf_dir):
-    return rules.category_support(_lines(spark, sf_dir), star.categories(spark, sf_dir))
+    return rules.category_support(_baskets(spark, sf_dir), star.categories(spark, sf_dir))
 
 
 @_query
 def category_pair_counts(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    candidates = rules.candidate_categories(lines, rules.count_baskets(lines), SUPPORT)
-    return rules.pair_counts(lines, candidates).select(
+    baskets = _baskets(spark, sf_dir)
+    pairs = rules.pair_counts(baskets, rules.frequent_categories(baskets, SUPPORT))
+    return pairs.select(
+        F.col("x").alias("category_a"), F.col("y").alias("category_b"), "num_baskets"
+    )
+
+
+@_query
+def frequent_pair_counts(spark, sf_dir):
+    baskets = _baskets(spark, sf_dir)
+    pairs = rules.pair_counts(baskets, rules.frequent_categories(baskets, 0.15))
+    return pairs.select(
         F.col("x").alias("category_a"), F.col("y").alias("category_b"), "num_baskets"
     )
 
@@ -546,25 +582,24 @@ def category_index_short(spark, sf_dir):
 
 @_query
 def rule_metadata(spark, sf_dir):
-    return rules.rule_metadata(
-        _lines(spark, sf_dir), _rules(spark, sf_dir), SUPPORT, CONFIDENCE, LIFT
-    )
-
-
-def _fpgrowth(spark, sf_dir):
-    return rules.fit_fpgrowth(_lines(spark, sf_dir), SUPPORT, CONFIDENCE)
+    baskets = _baskets(spark, sf_dir)
+    mined = _mined(baskets, star.categories(spark, sf_dir))
+    return rules.rule_metadata(baskets, mined, SUPPORT, CONFIDENCE, LIFT)
 
 
 @_query
 def fpgrowth_rules(spark, sf_dir):
-    return rules.fpgrowth_rules(_fpgrowth(spark, sf_dir), star.categories(spark, sf_dir), LIFT)
+    model = rules.fit_fpgrowth(_baskets(spark, sf_dir), SUPPORT, CONFIDENCE)
+    return rules.fpgrowth_rules(model, star.categories(spark, sf_dir), LIFT)
 
 
 @_query
 def fpgrowth_suggestions(spark, sf_dir):
-    arrays = rules.baskets(_lines(spark, sf_dir))
-    suggested = rules.suggest_for_baskets(_fpgrowth(spark, sf_dir), arrays)
-    return suggested.select("transaction_id", F.size("suggestions").alias("num_suggestions"))
+    baskets = _baskets(spark, sf_dir)
+    model = rules.fit_fpgrowth(baskets, SUPPORT, CONFIDENCE)
+    return rules.suggest_for_baskets(model, baskets).select(
+        "transaction_id", F.size("suggestions").alias("num_suggestions")
+    )
 
 
 @_query
@@ -593,7 +628,7 @@ def categories_with_rules(spark, sf_dir):
 @_query
 def overview_supports(spark, sf_dir):
     return rules.category_support(
-        _lines(spark, sf_dir), star.categories(spark, sf_dir), SUPPORT
+        _baskets(spark, sf_dir), star.categories(spark, sf_dir), SUPPORT
     ).limit(20)
 
 
@@ -661,12 +696,12 @@ def fact_table_round_trip(spark, sf_dir):
 
 @_query
 def incremental_ingest(spark, sf_dir):
-    fact, checkpoint = scratch_path(spark, "fact"), scratch_path(spark, "ingest")
+    table, checkpoint = scratch_path(spark, "ingested"), scratch_path(spark, "ingest")
     files = f"{_text_directory(spark, sf_dir)}/all_Tran.csv"
     ingest.append_new_files(
-        spark, files, fact, checkpoint, max_files_per_batch=4, pattern="*.csv"
+        spark, files, table, checkpoint, max_files_per_batch=4, pattern="*.csv"
     ).awaitTermination()
-    return _units_by_visit(ingest.read_ingested(spark, fact))
+    return _units_by_visit(grain.unnest(ingest.read_ingested(spark, table)))
 
 
 @_query

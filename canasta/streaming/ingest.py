@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from canasta import fixed
-from canasta.sources.text import RAW_SCHEMA, explode_items, number_rows, parse_rows
+from canasta.sources.text import RAW_SCHEMA, nest_items, number_rows, parse_rows
 
 
 def new_transaction_rows(
@@ -33,7 +33,7 @@ def new_transaction_rows(
 def append_new_files(
     spark: SparkSession,
     directory: str,
-    fact_path: str,
+    baskets_path: str,
     checkpoint_path: str,
     strict: bool = True,
     max_files_per_batch: int | None = None,
@@ -42,14 +42,14 @@ def append_new_files(
     """Processes all files not yet ingested, then stops.
 
     The checkpoint remembers the files. A batch may run twice after a failure, so
-    each writes its own partition of the fact with overwrite, and its transaction
+    each writes its own partition of the basket table with overwrite, and its transaction
     ids depend only on its content and number: a repeat leaves the same rows.
     Both paths must be on storage every executor reaches.
     """
 
     def write_batch(rows: DataFrame, batch_id: int) -> None:
-        fact = explode_items(parse_rows(number_rows(rows, batch_id), strict))
-        fact.write.mode("overwrite").parquet(f"{fact_path}/batch_id={batch_id}")
+        baskets = nest_items(parse_rows(number_rows(rows, batch_id), strict))
+        baskets.write.mode("overwrite").parquet(f"{baskets_path}/batch_id={batch_id}")
 
     return (
         new_transaction_rows(spark, directory, max_files_per_batch, pattern)
@@ -60,6 +60,6 @@ def append_new_files(
     )
 
 
-def read_ingested(spark: SparkSession, fact_path: str) -> DataFrame:
-    """The fact of all batches so far."""
-    return spark.read.parquet(fact_path).drop("batch_id")
+def read_ingested(spark: SparkSession, baskets_path: str) -> DataFrame:
+    """The baskets of all batches so far."""
+    return spark.read.parquet(baskets_path).drop("batch_id")

@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from canasta.operators import distributions, features, kpis, rules, timeseries
-from canasta.operators.grain import transactions
+from canasta.operators.grain import baskets, client_items, transactions, unnest
 from canasta.sources import text
 
 FILES = {
@@ -136,15 +136,16 @@ def test_distributions(fact):
 
 
 def test_single_transaction_category_has_no_std(fact):
-    lines, _, _ = fact
-    stats = {r.category_name: r for r in distributions.category_basket_stats(lines).collect()}
+    lines, categories, _ = fact
+    units = distributions.category_units(lines.drop("category_name"), categories)
+    stats = {r.category_name: r for r in distributions.category_basket_stats(units).collect()}
     assert stats["Categoría 99"]["std"] is None
     assert stats["GRUPO FRUVER-EXCEPCIONES"]["max"] == 2
 
 
 def test_features(fact):
     lines, _, txns = fact
-    table = sorted(rows(features.client_features(lines, txns)))
+    table = sorted(rows(features.client_features(txns, client_items(lines))))
     assert table == [
         (1, 2, 6, 3.0, 2.5, 4, 1, 2),
         (2, 2, 4, 2.0, 2.0, 3, 2, 2),
@@ -154,7 +155,7 @@ def test_features(fact):
 
 def test_rules(fact):
     lines, categories, _ = fact
-    found = rules.ordered_rules(rules.association_rules(lines, categories))
+    found = rules.ordered_rules(rules.association_rules(baskets(lines), categories))
     got = [(r[0], r[2], r[4], r[5], r[6]) for r in rows(found)]
     assert got == [
         (99, 1, 0.2, 1.0, 1.6667),
@@ -164,7 +165,7 @@ def test_rules(fact):
         (2, 3, 0.4, 0.6667, 1.1111),
         (3, 2, 0.4, 0.6667, 1.1111),
     ]
-    unfiltered = rules.association_rules(lines, categories, min_lift=0.0)
+    unfiltered = rules.association_rules(baskets(lines), categories, min_lift=0.0)
     assert {(r[0], r[2]) for r in rows(unfiltered)} - {(r[0], r[1]) for r in got} == {(1, 3), (3, 1)}
 
 
@@ -190,3 +191,11 @@ def test_ids_are_stable_and_copies_stay_apart(spark, data_dir):
     assert once.exceptAll(again).count() == 0
     other = text.number_rows(raw, batch=3)
     assert once.select("transaction_id").intersect(other.select("transaction_id")).count() == 0
+
+
+def test_baskets_from_text_equal_baskets_from_fact(spark, data_dir, fact):
+    direct = text.read_baskets(spark, f"{data_dir}/Transactions")
+    grouped = baskets(fact[0])
+    assert dict(direct.dtypes) == dict(grouped.dtypes)
+    assert sorted(rows(direct)) == sorted(rows(grouped.select(*direct.columns)))
+    assert unnest(direct).agg(F.sum("quantity")).first()[0] == 11
