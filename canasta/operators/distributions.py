@@ -90,3 +90,8 @@ def basket_size_histogram(
     if max_size is not None:
         sizes = sizes.filter(F.col("basket_size") <= max_size)
     return sizes.orderBy("basket_size")
+
+
+def histogram_head(histogram: DataFrame, n: int = fixed.HISTOGRAM_SHOWN) -> DataFrame:
+    """The ``n`` smallest basket sizes that occur."""
+    return top_k(histogram, [F.asc("basket_size")], n, rank=None)

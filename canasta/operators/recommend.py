@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from canasta import fixed
 from canasta.functions.ranking import top_k_per_group
-from canasta.operators.rules import drop_non_finite
+from canasta.operators.rules import (
+    category_support,
+    drop_non_finite,
+    rule_metadata,
+    top_rules,
+)
 from canasta.operators.segmentation import has_few_segments
 
 _SUGGESTION = ["rank", "consequent_id", "consequent", "confidence", "lift", "support"]
@@ -28,6 +33,25 @@ def categories_with_rules(index: DataFrame) -> DataFrame:
     )
 
 
+def overview(
+    baskets: DataFrame,
+    categories: DataFrame,
+    mined: DataFrame,
+    min_support: float = fixed.MIN_SUPPORT,
+    min_confidence: float = fixed.MIN_CONFIDENCE,
+    min_lift: float = fixed.MIN_LIFT,
+    n: int = fixed.OVERVIEW_ROWS,
+) -> dict[str, DataFrame]:
+    """Rule metadata, the categories that have rules, and the first supports and rules."""
+    supports = category_support(baskets, categories, min_support)
+    return {
+        "metadata": rule_metadata(baskets, mined, min_support, min_confidence, min_lift),
+        "categories_with_rules": categories_with_rules(mined),
+        "category_support": supports.limit(n),
+        "top_rules": top_rules(mined, n),
+    }
+
+
 def search_categories(
     index: DataFrame, text: str, n: int = fixed.SUGGESTIONS_SHOWN
 ) -> DataFrame:

@@ -46,6 +46,11 @@ class Segmentation:
     centers: list[list[float]]
     clients: DataFrame
     """client_id, segment_id and the features; segment 0 is the largest."""
+    cached: DataFrame
+
+    def release(self) -> None:
+        """Frees the cached features; ``clients`` is recomputed if used later."""
+        self.cached.unpersist()
 
     def elbow(self, spark: SparkSession) -> DataFrame:
         """k, inertia (2 decimals) and silhouette (4) of every k tried."""
@@ -133,7 +138,7 @@ def fit_segments(
     centers = [
         [float(c) * s + m for c, s, m in zip(scaled[old], std, mean)] for old in old_ids
     ]
-    return Segmentation(k, silhouette, sweep, model, centers, clients)
+    return Segmentation(k, silhouette, sweep, model, centers, clients, placed)
 
 
 def _best_of(vectors: DataFrame, k: int, seed: int, n_init: int, max_iter: int) -> KMeansModel:

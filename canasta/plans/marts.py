@@ -66,22 +66,28 @@ def clustering(
     spark: SparkSession, segmentation: seg.Segmentation, features: DataFrame
 ) -> Marts:
     mapping = segmentation.mapping()
+    sizes = seg.segment_summary(features, mapping).select("segment_id", "size", "percentage")
     return {
         "elbow": segmentation.elbow(spark),
-        "centroids": seg.centroids(segmentation, spark),
-        "segments": seg.segment_summary(features, mapping),
+        "segments": sizes.join(seg.centroids(segmentation, spark), "segment_id").orderBy(
+            "segment_id"
+        ),
         "segment_stats": seg.segment_stats(features, mapping),
         "client_sample": seg.segment_sample(segmentation.clients),
     }
 
 
 def client_segments(
-    client_categories: DataFrame, categories: DataFrame, features: DataFrame, mapping: DataFrame
+    spark: SparkSession,
+    segmentation: seg.Segmentation,
+    client_categories: DataFrame,
+    categories: DataFrame,
+    mapping: DataFrame,
 ) -> Marts:
     return {
         "mapping": mapping,
         "top_categories": seg.segment_top_categories(client_categories, categories, mapping),
-        "labels": seg.segment_summary(features, mapping).select("segment_id", "label"),
+        "labels": seg.centroids(segmentation, spark).select("segment_id", "label"),
     }
 
 
@@ -146,7 +152,9 @@ def refresh(
         ),
         "heatmap_data": heatmap_data(spark, features),
         "clustering": clustering(spark, segmentation, features),
-        "client_segments": client_segments(client_categories, categories, features, mapping),
+        "client_segments": client_segments(
+            spark, segmentation, client_categories, categories, mapping
+        ),
         "recommendations": recommendations(baskets, categories, *thresholds),
     }
     marts = [
@@ -156,4 +164,5 @@ def refresh(
     ]
     with ThreadPoolExecutor(parallel_writes) as pool:
         list(pool.map(lambda mart: write_mart(*mart, fmt), marts))
+    segmentation.release()
     append_run(documents["executive_summary"]["kpis"], f"{out_dir.rstrip('/')}/runs")

@@ -248,6 +248,15 @@ _CATEGORY_STATS = _with(
     FROM per_txn GROUP BY category_name""",
 )
 
+_METADATA = _with(
+    _FACT,
+    _RULES,
+    f""" SELECT count(DISTINCT transaction_id) AS n_transactions,
+    count(DISTINCT category_id) AS n_categories, CAST({SUPPORT} AS DOUBLE) AS min_support,
+    CAST({CONFIDENCE} AS DOUBLE) AS min_confidence, CAST({LIFT} AS DOUBLE) AS min_lift,
+    (SELECT count(*) FROM rules) AS total_rules FROM lines""",
+)
+
 ORACLES: dict[str, str] = {
     # ---- sources and row-level steps ----
     "enriched_fact": _with(
@@ -422,6 +431,12 @@ ORACLES: dict[str, str] = {
         """ SELECT CAST(basket_size AS BIGINT) AS basket_size, count(*) AS frequency FROM txn
         WHERE basket_size <= 50 GROUP BY 1""",
     ),
+    "basket_size_histogram_head": _with(
+        _FACT,
+        _FEATURES,
+        """ SELECT CAST(basket_size AS BIGINT) AS basket_size, count(*) AS frequency FROM txn
+        GROUP BY 1 ORDER BY 1 LIMIT 4""",
+    ),
     "basket_size_histogram_small": _with(
         _FACT,
         _FEATURES,
@@ -509,14 +524,8 @@ ORACLES: dict[str, str] = {
     "category_index_short": _with(
         _FACT, _RULES, f" SELECT {_RULE_LIST}, rank FROM idx WHERE rank <= 5"
     ),
-    "rule_metadata": _with(
-        _FACT,
-        _RULES,
-        f""" SELECT count(DISTINCT transaction_id) AS n_transactions,
-        count(DISTINCT category_id) AS n_categories, CAST({SUPPORT} AS DOUBLE) AS min_support,
-        CAST({CONFIDENCE} AS DOUBLE) AS min_confidence, CAST({LIFT} AS DOUBLE) AS min_lift,
-        (SELECT count(*) FROM rules) AS total_rules FROM lines""",
-    ),
+    "rule_metadata": _METADATA,
+    "overview_metadata": _METADATA,
     "fpgrowth_rules": _with(_FACT, _RULES, f" SELECT {_RULE_LIST} FROM rules"),
     # ---- recommendations ----
     "recommend_by_category": _with(
@@ -531,7 +540,7 @@ ORACLES: dict[str, str] = {
         _FACT, _RULES, " SELECT DISTINCT antecedent AS category_name FROM rules"
     ),
     "overview_supports": _support(SUPPORT) + " ORDER BY support DESC, category_id LIMIT 20",
-    "overview_top_rules": _top_rules(30),
+    "overview_top_rules": _top_rules(20),
     "search_categories": _with(
         _FACT,
         _RULES,

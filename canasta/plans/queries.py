@@ -403,6 +403,13 @@ def basket_size_histogram(spark, sf_dir):
     return distributions.basket_size_histogram(_txns(spark, sf_dir))
 
 
+@_query
+def basket_size_histogram_head(spark, sf_dir):
+    return distributions.histogram_head(
+        distributions.basket_size_histogram(_txns(spark, sf_dir)), 4
+    )
+
+
 @_query
 def basket_size_histogram_small(spark, sf_dir):
     return distributions.basket_size_histogram(_txns(spark, sf_dir), max_size=6)
@@ -620,21 +627,30 @@ def recommend_by_category_id(spark, sf_dir):
     return recommend.recommend_by_category_id(_index(spark, sf_dir), 23)
 
 
+def _overview(spark, sf_dir):
+    baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
+    mined = _mined(baskets, categories)
+    return recommend.overview(baskets, categories, mined, SUPPORT, CONFIDENCE, LIFT, n=20)
+
+
 @_query
 def categories_with_rules(spark, sf_dir):
-    return recommend.categories_with_rules(_index(spark, sf_dir))
+    return _overview(spark, sf_dir)["categories_with_rules"]
+
+
+@_query
+def overview_metadata(spark, sf_dir):
+    return _overview(spark, sf_dir)["metadata"]
 
 
 @_query
 def overview_supports(spark, sf_dir):
-    return rules.category_support(
-        _baskets(spark, sf_dir), star.categories(spark, sf_dir), SUPPORT
-    ).limit(20)
+    return _overview(spark, sf_dir)["category_support"]
 
 
 @_query
 def overview_top_rules(spark, sf_dir):
-    return rules.top_rules(_rules(spark, sf_dir), 30)
+    return _overview(spark, sf_dir)["top_rules"]
 
 
 @_query

@@ -199,3 +199,27 @@ def test_baskets_from_text_equal_baskets_from_fact(spark, data_dir, fact):
     assert dict(direct.dtypes) == dict(grouped.dtypes)
     assert sorted(rows(direct)) == sorted(rows(grouped.select(*direct.columns)))
     assert unnest(direct).agg(F.sum("quantity")).first()[0] == 11
+
+
+def test_command_line_refresh(spark, data_dir, tmp_path):
+    from canasta.__main__ import main
+    from canasta.sources.marts import read_mart
+
+    # k-means needs clients: six more baskets of six more clients.
+    extra = tmp_path / "data"
+    (extra / "Transactions").mkdir(parents=True)
+    (extra / "Products").mkdir()
+    lines = [f"2013-03-0{i}|107|{i + 10}|{'1 ' * i}2" for i in range(1, 7)]
+    content = "".join(v for k, v in FILES.items() if k.endswith("_Tran.csv"))
+    (extra / "Transactions" / "1_Tran.csv").write_text(content + "\n".join(lines) + "\n")
+    (extra / "Products" / "Categories.csv").write_text(CATEGORIES, encoding="utf-8")
+    out = str(tmp_path / "out")
+    main([str(extra), out, "--format", "json"])
+    totals = read_mart(spark, out, "executive_summary/kpis", "json").first()
+    assert (totals.total_units, totals.total_transactions, totals.total_clients) == (38, 11, 9)
+    segments = read_mart(spark, out, "clustering/segments", "json")
+    assert segments.agg(F.sum("size")).first()[0] == 9
+    assert set(read_mart(spark, out, "client_segments/labels", "json").columns) == {
+        "segment_id",
+        "label",
+    }
