@@ -69,24 +69,22 @@ def categories_by_volume(lines: DataFrame, categories: DataFrame) -> DataFrame:
 def categories_with_remainder(
     lines: DataFrame, categories: DataFrame, slices: int = fixed.PIE_SLICES
 ) -> DataFrame:
-    """The largest categories and one row with the sum of all others.
-
-    The ranking window sees one row per category.
-    """
-    ranked = units_per_category(lines, categories).withColumn(
-        "_rank", F.row_number().over(Window.orderBy(*_by_units()))
+    """The largest categories and, when there are more, one row with the sum of the others."""
+    volume = units_per_category(lines, categories)
+    top = top_k(volume, _by_units(), slices, rank="slice").select(
+        "slice", F.col("category_name").alias("name"), "total_units"
     )
-    inside = F.col("_rank") <= slices
-    return (
-        ranked.groupBy(
-            F.when(inside, F.col("_rank")).otherwise(slices + 1).alias("slice"),
-            F.when(inside, F.col("category_name"))
-            .otherwise(F.lit(fixed.REMAINDER_LABEL))
-            .alias("name"),
+    shown = top.select(F.sum("total_units").alias("shown")).scalar()
+    rest = (
+        volume.agg(F.sum("total_units").alias("all_units"), F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > slices)
+        .select(
+            F.lit(slices + 1).alias("slice"),
+            F.lit(fixed.REMAINDER_LABEL).alias("name"),
+            (F.col("all_units") - shown).alias("total_units"),
         )
-        .agg(F.sum("total_units").alias("total_units"))
-        .orderBy("slice")
     )
+    return top.unionByName(rest).orderBy("slice")
 
 
 def top_clients(txns: DataFrame, n: int = fixed.TOP_N) -> DataFrame:

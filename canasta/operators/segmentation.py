@@ -83,6 +83,7 @@ def fit_segments(
     seed: int = fixed.SEED,
     n_init: int = 1,
     max_iter: int = 20,
+    init_steps: int = 2,
     parallelism: int = 4,
 ) -> Segmentation:
     """k-means for every k, the best silhouette kept, segments renumbered by size.
@@ -115,7 +116,7 @@ def fit_segments(
     )
 
     def attempt(k: int) -> tuple[int, float, float, KMeansModel]:
-        model = _best_of(vectors, k, seed, n_init, max_iter)
+        model = _best_of(vectors, k, seed, n_init, max_iter, init_steps)
         silhouette = evaluator.evaluate(model.transform(vectors))
         return k, model.summary.trainingCost * inertia_scale, silhouette, model
 
@@ -141,13 +142,17 @@ def fit_segments(
     return Segmentation(k, silhouette, sweep, model, centers, clients, placed)
 
 
-def _best_of(vectors: DataFrame, k: int, seed: int, n_init: int, max_iter: int) -> KMeansModel:
+def _best_of(
+    vectors: DataFrame, k: int, seed: int, n_init: int, max_iter: int, init_steps: int
+) -> KMeansModel:
+    """The cheapest of ``n_init`` runs from consecutive seeds."""
     best = None
     for attempt in range(n_init):
         model = KMeans(
             k=k,
             seed=seed + attempt,
             maxIter=max_iter,
+            initSteps=init_steps,
             featuresCol="scaled",
             predictionCol="_cluster",
         ).fit(vectors)

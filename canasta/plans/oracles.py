@@ -194,10 +194,10 @@ def _radar() -> str:
     )
 
 
-def _zscores() -> str:
+def _zscores(std: str) -> str:
     return ", ".join(
         f"coalesce(round((CAST({f} AS DOUBLE) - avg({f}) OVER ()) / "
-        f"nullif(stddev_pop({f}) OVER (), 0), 4), 0) AS {f}"
+        f"nullif({std}({f}) OVER (), 0), 4), 0) AS {f}"
         for f in fixed.SEGMENT_FEATURES
     )
 
@@ -463,7 +463,12 @@ ORACLES: dict[str, str] = {
     "feature_client_count": _with(
         _FACT, _FEATURES, " SELECT count(*) AS client_features_count FROM features"
     ),
-    "feature_zscores": _with(_FACT, _FEATURES, f" SELECT client_id, {_zscores()} FROM features"),
+    "feature_zscores": _with(
+        _FACT, _FEATURES, f" SELECT client_id, {_zscores('stddev_pop')} FROM features"
+    ),
+    "scaled_client_vectors": _with(
+        _FACT, _FEATURES, f" SELECT client_id, {_zscores('stddev_samp')} FROM features"
+    ),
     # ---- segmentation on a given mapping ----
     "given_segment_summary": _with(_FACT, _FEATURES, _SUMMARY, " SELECT * FROM summary"),
     "given_segment_stats": _with(_FACT, _FEATURES, f" {_segment_stats()}"),

@@ -6,9 +6,11 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import wraps
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canasta import fixed
 from canasta.functions import columns as c
 from canasta.functions.columns import iso_dates, sanitize_floats
 from canasta.operators import (
@@ -479,7 +481,11 @@ def segment_client_sample(spark, sf_dir):
 @_query
 def scaled_client_vectors(spark, sf_dir):
     vectors, _, _ = seg.scaled_vectors(_features(spark, sf_dir))
-    return vectors.select("client_id", F.col("scaled").cast("string").alias("scaled"))
+    scaled = vector_to_array("scaled")
+    return vectors.select(
+        "client_id",
+        *[F.round(scaled[i], 4).alias(x) for i, x in enumerate(fixed.SEGMENT_FEATURES)],
+    )
 
 
 @_query
@@ -726,7 +732,7 @@ def run_history(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     totals = kpis.kpis(lines, grain.transactions(lines))
     for day in (1, 2, 3):
-        marts.append_run(totals, path, datetime(2024, 1, day))
+        marts.append_run(totals, path, datetime(2024, 1, day, 12))
     newest = marts.run_history(spark.read.parquet(path), 2)
     return newest.select(
         "rank",

@@ -154,11 +154,49 @@ def test_transactions_reuse_the_partitioning_of_the_order_join(spark):
     """Grouping by transaction right after a shuffled join with orders adds no exchange."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text_plan = plan(transactions(star.lines(spark, SF)))
+        plans = [plan(grain(star.lines(spark, SF))) for grain in (transactions, baskets)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    tree = text_plan.split("\n\n")[0]
-    assert tree.count("Exchange") == 4  # lineitem and part by part, then with orders by order
+    for text_plan in plans:
+        tree = text_plan.split("\n\n")[0]
+        assert tree.count("Exchange") == 4  # lineitem and part by part, then with orders by order
+
+
+def test_hot_order_is_split_although_its_rows_are_grouped_next(spark, tmp_path):
+    """A third of all lines on one order: the join splits it and the result is whole."""
+    item = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("l_orderkey"),
+        (F.col("id") % 50).alias("l_partkey"),
+        F.lit(1.0).alias("l_quantity"),
+    )
+    item.repartition(8).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(50).select(
+        F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id") + 1).alias("p_brand")
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(300_000).select(
+        F.col("id").alias("o_orderkey"),
+        (F.col("id") % 1000).alias("o_custkey"),
+        F.expr("TIMESTAMP_NTZ'2024-01-01'").alias("o_orderdate"),
+        F.lit("1-URGENT").alias("o_orderpriority"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = transactions(star.lines(spark, str(tmp_path)))
+        hot = [r for r in df.collect() if r.transaction_id == 7]
+        executed = plan(df)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert len(hot) == 1 and hot[0].basket_size == 100_001 and hot[0].num_categories == 50
+    assert "skew" in executed.lower()
 
 
 def test_library_has_no_python_udf_and_no_cross_join(spark):
