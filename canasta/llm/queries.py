@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from canasta.llm import mixing, sharding
-from canasta.llm.shared import small_batches, table
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from canasta.llm import language, mixing, near, recompression, sharding, suffixes, syncmers, tokens
+from canasta.llm.shared import table
+
+#: The vocabulary file; a path that every executor can read.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_sharding(spark, sf_dir):
@@ -11,12 +17,53 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard_documents(docs, sharding.balanced(40))
 
 
+def op2_tokens(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return tokens.encoded_documents(docs, public_tokenizers.path(VOCABULARY))
+
+
+def op3_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+def op5_suffixes(spark, sf_dir):
+    kept = suffixes.kept_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("mark")
 
 
+def op8_recompression(spark, sf_dir):
+    kept = recompression.kept_words(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_words", "n_removed", digest)
+
+
+def op9_syncmers(spark, sf_dir):
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_near(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op6_mixing)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_sharding,
+            op2_tokens,
+            op3_language,
+            op5_suffixes,
+            op6_mixing,
+            op8_recompression,
+            op9_syncmers,
+            op10_near,
+        )
+    }
 
 
 ORACLES: dict[str, str] = {}
