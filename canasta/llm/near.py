@@ -229,7 +229,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY
 ) -> DataFrame:
-    """doc_id and class_id (the least doc_id of the class) of every row of ``docs``."""
+    """doc_id, class_id (the least doc_id of the class), node (its text) and class_no of every row of ``docs``."""
     idf, _ = document_frequencies(docs, text)
     signed = written(signatures(docs, idf, doc_id, text), "signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
@@ -283,15 +283,19 @@ def near_duplicates(
     named = nodes.select("node", "doc_id").join(labels, "node", "left")
     named = named.withColumn("class", F.coalesce("class", "node"))
     least = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    classes = named.join(least, "class").select("node", "class_id")
-    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id")
+    classes = named.join(least, "class").select("node", "class_id", F.col("class").alias("class_no"))
+    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "node", "class_no")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is that of their class; of repeated rows one stays."""
+    """The rows of ``docs``, all columns, that stand for their class: of the least id, then of the least
+    text hash; of repeated rows one stays."""
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     classes = near_duplicates(docs, **options)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["_kept"])).drop("_kept")
-    first = Window.partitionBy(F.col(doc_id)).orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return rows.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
+    name = lambda d, t: F.concat_ws(":", F.coalesce(F.col(d).cast("string"), F.lit("")), t)
+    first = classes.groupBy("class_no").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    kept = first.select(name("first.doc_id", F.lower(F.hex("first.node"))).alias("__name"))
+    body = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    rows = docs.withColumn("__name", name(doc_id, body)).join(kept, "__name")
+    repeats = Window.partitionBy("__name").orderBy("__name")
+    return rows.withColumn("__row", F.row_number().over(repeats)).where("__row = 1").select(docs.columns)

@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from canasta.llm import language, mixing, near, recompression, sharding, suffixes, syncmers, tokens
+from canasta.llm import (
+    decontamination,
+    language,
+    licenses,
+    mixing,
+    near,
+    recompression,
+    sharding,
+    suffixes,
+    syncmers,
+    tokens,
+)
 from canasta.llm.shared import table
 
 #: The vocabulary file; a path that every executor can read.
@@ -27,6 +38,11 @@ def op3_language(spark, sf_dir):
     return language.identify(docs, language.fit(docs))
 
 
+def op4_decontamination(spark, sf_dir):
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs, benchmark).drop("mark")
+
+
 def op5_suffixes(spark, sf_dir):
     kept = suffixes.kept_bytes(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -36,6 +52,10 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("mark")
 
 
+def op7_licenses(spark, sf_dir):
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_recompression(spark, sf_dir):
     kept = recompression.kept_words(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
@@ -47,7 +67,7 @@ def op9_syncmers(spark, sf_dir):
 
 
 def op10_near(spark, sf_dir):
-    return near.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def registered() -> dict:
@@ -57,8 +77,10 @@ def registered() -> dict:
             op1_sharding,
             op2_tokens,
             op3_language,
+            op4_decontamination,
             op5_suffixes,
             op6_mixing,
+            op7_licenses,
             op8_recompression,
             op9_syncmers,
             op10_near,

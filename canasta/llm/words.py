@@ -109,11 +109,11 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = end
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the texts between ``offsets`` in ``data``."""
+def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, values: np.ndarray = BYTE_VALUES) -> Words:
+    """Words of the texts between ``offsets`` in ``data``: runs of bytes that are no ``space``."""
     base = offsets[0]
     data, offsets = data[base : offsets[-1]], offsets - base
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -123,10 +123,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     before = borders[borders > 0] - 1
     ends[before] = inside[before]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    values = Ranges(BYTE_VALUES[data])(start, end)
+    hashes = Ranges(values[data])(start, end)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(values, doc, first, start, end, data, len(offsets) - 1)
+    return Words(hashes, doc, first, start, end, data, len(offsets) - 1)
 
 
 def word_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
