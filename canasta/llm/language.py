@@ -65,7 +65,8 @@ def automaton(points: list[int], letters: dict[int, int], width: int) -> np.ndar
 
     A cell holds the next state times two. Where the automaton has no such step, the cell holds the
     state that the next phrase begins with, and its lowest bit is set. Class 0 is padding, which stays.
-    Class 1 is any unknown letter, a phrase of its own.
+    Class 1 is any unknown letter. The last state begins a text and follows a letter that this language
+    does not have, which is a phrase of its own: every step from it begins a phrase.
     """
     steps, link, length = [{}], [-1], [0]
     last = 0
@@ -96,12 +97,14 @@ def automaton(points: list[int], letters: dict[int, int], width: int) -> np.ndar
                     at = link[at]
                 link[to] = link[own] = copy
         last = own
-    table = np.full((len(steps), width), -1, np.int32)
+    begin = len(steps)
+    table = np.full((begin + 1, width), -1, np.int32)
     for state, out in enumerate(steps):
         table[state, list(out)] = np.fromiter(out.values(), np.int32, len(out)) * 2
-    fresh = np.where(table[0] >= 0, table[0], 0) | 1
+    fresh = np.where(table[0] >= 0, table[0], begin * 2) | 1
     table = np.where(table >= 0, table, fresh)
-    table[:, 0] = np.arange(len(steps)) * 2
+    table[begin] = fresh
+    table[:, 0] = np.arange(begin + 1) * 2
     return table.astype(np.int32)
 
 
@@ -137,7 +140,7 @@ class Model:
         active = len(order) - np.searchsorted(lengths[order][::-1], np.arange(PIECE), side="right")
         counts = np.zeros((len(self.tables), len(order)), np.int64)
         for table, count in zip(self.tables, counts, strict=True):
-            at = np.zeros(len(order), np.int32)
+            at = np.full(len(order), len(table) // self.width - 1, np.int32)
             ended = np.zeros(len(order), np.int32)
             for column, n in zip(columns, active.tolist(), strict=True):
                 if not n:
@@ -145,7 +148,7 @@ class Model:
                 cell = table[at[:n] * self.width + column[:n]]
                 ended[:n] += cell & 1
                 at[:n] = cell >> 1
-            count[order] = ended + (lengths[order] > 0)
+            count[order] = ended
         return np.add.reduceat(counts, np.concatenate([[0], np.cumsum(pieces)[:-1]]), axis=1).T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
