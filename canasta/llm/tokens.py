@@ -33,13 +33,14 @@ LENGTH = 2048
 #: Sequences of a record batch.
 BATCH = 128
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 MANIFEST = "part int, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-#: White space beside a blank, or at an edge: such a blank is no sure border of two pieces.
-_UNSURE = re.compile(r"\s |  | \s|^ | $")
+#: A blank between two characters that are no white space: a sure border of two pieces.
+#: Marks that end a piece of their own after a letter or digit.
+_MARKS = ".,;:!?"
 _SURE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -48,7 +49,8 @@ class Encoder:
 
     The vocabulary's pattern always begins a new piece at a blank between two characters that are no
     white space, and no merge crosses pieces. Texts are cut there, and the ids of a text are those of
-    its pieces in order.
+    its pieces in order. New pieces are encoded together, a line each: a line break between two of them
+    is one id of its own.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -58,24 +60,75 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.type).tobytes()
+        self.line = self._ids("a\n b")[1]
+        #: Ids of pieces at the beginning of a text or line, and of those after a blank (not part of the key).
+        self.first: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+
+    def _remembered(self, part: str) -> bytes | None:
+        return self.known.get(part[1:]) if part[:1] == " " else self.first.get(part)
+
+    def _encoded(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of ``pieces``. They are cut further at single line breaks and before the marks after a
+        letter or digit, where no token crosses; parts are remembered, and of the pieces the earliest."""
+        parts, new = {}, set()
+        for piece in pieces:
+            own, lines = [], [piece]
+            if "\n" in piece:
+                lines = piece.split("\n")
+                if any(not x or x != x.strip() for x in (lines[0].removeprefix(" "), *lines[1:])):
+                    lines = [piece]
+            for line in lines:
+                core = line.rstrip(_MARKS)
+                if len(core) < len(line) and core[-1:].isalnum():
+                    own += ["\n", core, line[len(core) :]] if own else [core, line[len(core) :]]
+                else:
+                    own += ["\n", line] if own else [line]
+            parts[piece] = own
+            new.update(own)
+        have = {x: self._remembered(x) for x in new}
+        new = [x for x, ids in have.items() if ids is None]
+        plain = [x for x in new if x.split() == [x[x[:1] == " " :]]]
+        ids = self._ids("\n".join(plain))
+        ends = np.flatnonzero(ids == self.line).tolist()
+        raw, width = ids.tobytes(), self.type.itemsize
+        spans = zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)
+        fresh = dict(zip(plain, (raw[a * width : b * width] for a, b in spans), strict=True)) if plain else {}
+        have |= fresh
+        have |= {x: self._ids(x).tobytes() for x in new if x not in fresh}
+        if len(self.known) + len(fresh) <= REMEMBERED:
+            self.known.update((x[1:], i) for x, i in fresh.items() if x[:1] == " ")
+            self.first.update((x, i) for x, i in fresh.items() if x[:1] != " ")
+        out = {p: have[own[0]] if len(own) == 1 else b"".join([have[x] for x in own]) for p, own in parts.items()}
+        if len(self.known) + len(out) <= REMEMBERED // 3:
+            self.known.update((p[1:], i) for p, i in out.items() if p[:1] == " " and p[1:] and p[1:] == p[1:].strip())
+        return out
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = []
+        get, cut, found, new = self.known.get, [], [], set()
         for text in texts:
-            pieces = (_SURE.split(text) if _UNSURE.search(text) else text.split(" ")) if text else []
-            cut.append([pieces[0], *map(" ".__add__, pieces[1:])] if pieces else pieces)
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        fresh = {}
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {p: np.array(e.ids, self.type).tobytes() for p, e in zip(new, found, strict=True)}
-            if len(known) + len(fresh) <= REMEMBERED:
-                known.update(fresh)
-                fresh = {}
-        of = (lambda p: known.get(p) or fresh[p]) if fresh else known.__getitem__
-        return [np.frombuffer(b"".join(map(of, pieces)) + self.end, self.type) for pieces in cut]
+            pieces = text.split(" ") if text else []
+            ids = list(map(get, pieces))
+            missing = {p for p, i in zip(pieces, ids, strict=True) if i is None} if None in ids else ()
+            if any(not p or p != p.strip() for p in missing) or not all(pieces[:1]):
+                pieces = _SURE.split(text)
+                ids = list(map(get, pieces))
+                missing = {p for p, i in zip(pieces, ids, strict=True) if i is None}
+            if pieces:
+                new.add(pieces[0])
+                new.update(map(" ".__add__, missing))
+            cut.append(pieces)
+            found.append(ids)
+        fresh = self._encoded(new)
+        for pieces, ids in zip(cut, found, strict=True):
+            if pieces:
+                if None in ids:
+                    ids[:] = [fresh[" " + p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+                ids[0] = fresh[pieces[0]]
+        return [np.frombuffer(b"".join(ids) + self.end, self.type) for ids in found]
 
 
 _encoders: dict[tuple, Encoder] = {}
