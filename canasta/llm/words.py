@@ -54,7 +54,6 @@ class Powers:
 
 
 FIRST = Powers(0xD1342543DE82EF95)
-SECOND = Powers(0xAF251AF3B0F025B5)
 
 
 class Ranges:
