@@ -7,10 +7,11 @@ bucket, and a pair is a link when its exact weighted Jaccard similarity is at le
 are the connected components of the links. A pair at the threshold meets with probability
 1 - (1 - 0.8³)^12 > 0.9998.
 
-Buckets are not expanded into pairs. Equal texts are one node from the start. In each round a bucket that
-still holds several classes compares one leader with its nodes of other classes; links join classes, and
-once few pairs of different classes are left in all buckets, those are compared one by one. So no link
-between different classes is missed, while links within a class need not be looked for.
+Large buckets are not expanded into pairs. Equal texts are one node from the start. In each round a bucket
+that still holds several classes compares one leader with its nodes of other classes, and links join
+classes. Once few pairs of different classes are left in all buckets, or a round no longer halves them,
+those left are compared one by one. So no link between different classes is missed, while links within
+a class need not be looked for.
 
 Defined cases: a null text is an empty one; empty texts are equal, hence one class. A text of fewer than
 five words is one shingle. Rows with equal ids are one document each; the class id is the least id of
@@ -247,9 +248,9 @@ def near_duplicates(
     total = texts.count()
 
     labels = members.select("node", F.col("node").alias("class"))
-    links = checked = None
-    turn = 0
-    while True:
+    links = checked = before = None
+    turn, last = 0, False
+    while not last:
         turn += 1
         now = written(entries.join(labels, "node"), "classes")
         sizes = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
@@ -260,7 +261,9 @@ def near_duplicates(
         if not left:
             break
         rest = now.join(open_buckets.select("bucket"), "bucket")
-        if left <= PAIRS_PER_NODE * total:
+        last = left <= PAIRS_PER_NODE * total or (before is not None and left > before / 2)
+        before = left
+        if last:
             other = rest.select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b"))
             pairs = rest.withColumnRenamed("node", "a").join(other, "bucket")
             pairs = pairs.where((F.col("class") != F.col("class_b")) & (F.col("a") < F.col("b")))
@@ -278,8 +281,6 @@ def near_duplicates(
         links = fresh if links is None else links.union(fresh)
         checked = pairs if checked is None else checked.union(pairs)
         labels = components(members, links)
-        if left <= PAIRS_PER_NODE * total:
-            break
     named = nodes.select("node", "doc_id").join(labels, "node", "left")
     named = named.withColumn("class", F.coalesce("class", "node"))
     least = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))

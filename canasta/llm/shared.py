@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Documents per Arrow batch in Python stages; bounds a worker's memory.
-BATCH_ROWS = 500
+BATCH_ROWS = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at once; a single longer text is handled alone.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 400_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
