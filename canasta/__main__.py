@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from canasta import fixed
 from canasta.plans.marts import refresh
+from canasta.session import use_scratch
 from canasta.sources import text
 
 
@@ -22,12 +23,16 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--format", choices=["parquet", "json"], default="parquet")
     parser.add_argument("--lenient", action="store_true", help="null for unreadable values")
     parser.add_argument("--position-ids", action="store_true", help="ids without any shuffle")
+    parser.add_argument("--scratch", help="shared folder for intermediate tables")
+    parser.add_argument("--n-init", type=int, default=fixed.KMEANS_STARTS)
+    parser.add_argument("--max-iter", type=int, default=fixed.KMEANS_ITERATIONS)
     parser.add_argument("--min-support", type=float, default=fixed.MIN_SUPPORT)
     parser.add_argument("--min-confidence", type=float, default=fixed.MIN_CONFIDENCE)
     parser.add_argument("--min-lift", type=float, default=fixed.MIN_LIFT)
     options = parser.parse_args(arguments)
 
     spark = SparkSession.builder.appName("canasta").getOrCreate()
+    use_scratch(spark, options.scratch)
     base = options.data_dir.rstrip("/")
     baskets = text.read_baskets(
         spark,
@@ -42,6 +47,9 @@ def main(arguments: list[str] | None = None) -> None:
         options.out_dir,
         options.format,
         (options.min_support, options.min_confidence, options.min_lift),
+        scratch=options.scratch,
+        n_init=options.n_init,
+        max_iter=options.max_iter,
     )
 
 

@@ -60,7 +60,6 @@ REGULAR = "Compradores Regulares"
 TOP_N = 10
 OUTLIER_TOP_N = 20
 IQR_FACTOR = 1.5
-HISTOGRAM_MAX_SIZE = 50
 HISTOGRAM_SHOWN = 30
 TOP_FREQUENT_CATEGORIES = 15
 PIE_SLICES = 9
@@ -68,6 +67,8 @@ FEATURE_SAMPLE = 500
 SEED = 42
 
 K_VALUES = [3, 4, 5, 6]
+KMEANS_STARTS = 10
+KMEANS_ITERATIONS = 300
 SEGMENT_SAMPLE = 2000
 SEGMENT_TOP_CATEGORIES = 10
 

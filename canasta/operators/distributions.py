@@ -83,7 +83,7 @@ def most_frequent_categories(
 
 
 def basket_size_histogram(
-    txns: DataFrame, max_size: int | None = fixed.HISTOGRAM_MAX_SIZE
+    txns: DataFrame, max_size: int | None = None
 ) -> DataFrame:
     """Number of transactions per basket size; ``max_size`` None keeps every size."""
     sizes = txns.groupBy("basket_size").agg(F.count(F.lit(1)).alias("frequency"))

@@ -17,6 +17,7 @@ from canasta import fixed
 from canasta.functions.columns import is_finite
 from canasta.functions.ranking import top_k, top_k_per_group
 from canasta.operators.enrich import name_categories
+from canasta.session import broadcast_if_small
 
 RULE_COLUMNS = [
     "antecedent_id",
@@ -258,6 +259,15 @@ def fpgrowth_rules(
     return finish_rules(single.filter(F.col("lift") >= min_lift), categories)
 
 
-def suggest_for_baskets(model: FPGrowthModel, baskets: DataFrame) -> DataFrame:
-    """Categories missing from each basket that the model's rules suggest."""
-    return model.transform(basket_sets(baskets)).withColumnRenamed("prediction", "suggestions")
+def suggest_for_baskets(rules: DataFrame, baskets: DataFrame) -> DataFrame:
+    """transaction_id and num_suggestions: categories that one-to-one rules suggest and the basket lacks.
+
+    A join of basket items with rules; baskets without a suggestion have 0.
+    """
+    sets = basket_sets(baskets)
+    items = sets.select("transaction_id", "items", F.explode("items").alias("antecedent_id"))
+    met = items.join(
+        broadcast_if_small(rules.select("antecedent_id", "consequent_id").distinct()), "antecedent_id", "left"
+    )
+    fresh = F.when(~F.array_contains("items", F.col("consequent_id")), F.col("consequent_id"))
+    return met.groupBy("transaction_id").agg(F.countDistinct(fresh).alias("num_suggestions"))

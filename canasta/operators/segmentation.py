@@ -40,9 +40,11 @@ class Segmentation:
     """Outcome of :func:`fit_segments`."""
 
     k: int
-    silhouette: float
+    silhouette: float | None
     sweep: list[tuple[int, float, float]]
-    model: KMeansModel
+    model: KMeansModel | None
+    """None when all clients are one segment."""
+    n_clients: int
     centers: list[list[float]]
     clients: DataFrame
     """client_id, segment_id and the features; segment 0 is the largest."""
@@ -58,6 +60,13 @@ class Segmentation:
             "k", F.round("inertia", 2).alias("inertia"), F.round("silhouette", 4).alias("silhouette")
         )
 
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """The chosen k, its silhouette (4 decimals; null when nothing could be scored) and the clients."""
+        row = spark.createDataFrame(
+            [(self.k, self.silhouette, self.n_clients)], "k INT, silhouette DOUBLE, total_clients LONG"
+        )
+        return row.select("k", F.round("silhouette", 4).alias("silhouette"), "total_clients")
+
     def mapping(self) -> DataFrame:
         return self.clients.select("client_id", "segment_id")
 
@@ -93,6 +102,9 @@ def fit_segments(
     seeding depends on the row layout: the same clients give the same segments
     however they arrive. ``parallelism`` models are fitted at a time. Only centres
     and scores reach the driver.
+
+    Only k up to the number of distinct feature rows are tried. If that leaves none, or one cluster, all
+    clients are one segment without a silhouette. A model may return fewer centres than asked for.
     """
     columns = list(fixed.SEGMENT_FEATURES)
     features = features.select("client_id", *columns).persist(StorageLevel.MEMORY_AND_DISK)
@@ -115,15 +127,27 @@ def fit_segments(
         distanceMeasure="squaredEuclidean",
     )
 
-    def attempt(k: int) -> tuple[int, float, float, KMeansModel]:
+    most = max([*k_values, 1])
+    distinct = placed.select(*columns).distinct().limit(most).count()
+
+    def attempt(k: int) -> tuple[int, float, float | None, KMeansModel]:
         model = _best_of(vectors, k, seed, n_init, max_iter, init_steps)
-        silhouette = evaluator.evaluate(model.transform(vectors))
+        scored = len(model.clusterCenters()) > 1
+        silhouette = evaluator.evaluate(model.transform(vectors)) if scored else None
         return k, model.summary.trainingCost * inertia_scale, silhouette, model
 
+    if not n_clients:
+        raise ValueError("there are no clients to segment")
+    possible = [k for k in k_values if k <= distinct]
     with ThreadPoolExecutor(parallelism) as pool:
-        tried = list(pool.map(attempt, k_values))
-    k, _, silhouette, model = max(tried, key=lambda t: t[2])  # the first of equals
+        tried = [t for t in pool.map(attempt, possible) if t[2] is not None]
     sweep = [t[:3] for t in tried]
+    if tried:
+        _, _, silhouette, model = max(tried, key=lambda t: t[2])  # the first of equals
+    else:
+        clients = placed.select("client_id", F.lit(0).alias("segment_id"), *columns)
+        return Segmentation(1, None, sweep, None, n_clients, [mean], clients, placed)
+    k = len(model.clusterCenters())
 
     clients = model.transform(vectors).select(
         "client_id", F.col("_cluster").alias("segment_id"), *columns
@@ -139,7 +163,7 @@ def fit_segments(
     centers = [
         [float(c) * s + m for c, s, m in zip(scaled[old], std, mean)] for old in old_ids
     ]
-    return Segmentation(k, silhouette, sweep, model, centers, clients, placed)
+    return Segmentation(k, silhouette, sweep, model, n_clients, centers, clients, placed)
 
 
 def _best_of(

@@ -16,7 +16,7 @@ from canasta.operators import (
     timeseries,
 )
 from canasta.operators.grain import client_items, unnest
-from canasta.session import materialize, tune
+from canasta.session import materialize, run_folder, tune
 from canasta.sources.marts import append_run, write_mart
 
 Marts = dict[str, DataFrame]
@@ -69,6 +69,7 @@ def clustering(
     sizes = seg.segment_summary(features, mapping).select("segment_id", "size", "percentage")
     return {
         "elbow": segmentation.elbow(spark),
+        "summary": segmentation.summary(spark),
         "segments": sizes.join(seg.centroids(segmentation, spark), "segment_id").orderBy(
             "segment_id"
         ),
@@ -107,7 +108,8 @@ def recommendations(
         "rules",
     )
     return {
-        "rules": assoc.top_rules(rules),
+        "rules": assoc.ordered_rules(rules),
+        "top_rules": assoc.top_rules(rules),
         "category_index": assoc.nested_index(assoc.category_index(rules)),
         "category_support": assoc.category_support(baskets, categories, min_support, n_baskets),
         "metadata": assoc.rule_metadata(
@@ -128,20 +130,48 @@ def refresh(
         fixed.MIN_LIFT,
     ),
     parallel_writes: int = 4,
+    scratch: str | None = None,
+    n_init: int = fixed.KMEANS_STARTS,
+    max_iter: int = fixed.KMEANS_ITERATIONS,
 ) -> None:
     """Computes every mart of ``baskets`` into ``out_dir`` and records the run's totals.
 
+    ``scratch`` is a folder all executors share, by default ``spark.checkpoint.dir``; the run uses a
+    folder of its own there and removes it.
+
     Baskets, (client, category) pairs and client features are stored once in the
     shared folder; all marts scan those tables, most without any large shuffle.
     Small marts leave most of a cluster idle, so a few are written at a time.
     """
     tune(spark)
+    with run_folder(spark, scratch):
+        _refresh(
+            spark, baskets, categories, out_dir, fmt, thresholds, parallel_writes, n_init, max_iter
+        )
+
+
+def _refresh(
+    spark, baskets, categories, out_dir, fmt, thresholds, parallel_writes, n_init, max_iter
+) -> None:
     baskets = materialize(baskets, "baskets")
     txns = baskets.drop("items")
     lines = unnest(baskets)
     client_categories = materialize(client_items(lines), "client-categories")
     features = materialize(feats.client_features(txns, client_categories), "client-features")
-    segmentation = seg.fit_segments(features)
+    segmentation = seg.fit_segments(features, n_init=n_init, max_iter=max_iter)
+    try:
+        _write_documents(
+            spark, baskets, txns, lines, categories, client_categories, features, segmentation,
+            out_dir, fmt, thresholds, parallel_writes,
+        )
+    finally:
+        segmentation.release()
+
+
+def _write_documents(
+    spark, baskets, txns, lines, categories, client_categories, features, segmentation,
+    out_dir, fmt, thresholds, parallel_writes,
+) -> None:
     mapping = materialize(segmentation.mapping(), "segments")
 
     documents = {
@@ -164,5 +194,4 @@ def refresh(
     ]
     with ThreadPoolExecutor(parallel_writes) as pool:
         list(pool.map(lambda mart: write_mart(*mart, fmt), marts))
-    segmentation.release()
     append_run(documents["executive_summary"]["kpis"], f"{out_dir.rstrip('/')}/runs")

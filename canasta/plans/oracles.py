@@ -64,14 +64,14 @@ idx AS (
            ORDER BY lift DESC, confidence DESC, antecedent_id, consequent_id) AS INTEGER) AS rank
   FROM rules)"""
 
-_SEGMENT_RULES = """
+_SEGMENT_RULES = f"""
 seg_top AS (
   SELECT segment_id, category_name, row_number() OVER (PARTITION BY segment_id
            ORDER BY count(DISTINCT client_id) DESC, category_name) AS category_rank
   FROM fact JOIN (SELECT c_custkey AS client_id, c_mktsegment AS segment_id FROM customer)
        USING (client_id)
   GROUP BY segment_id, category_name
-  QUALIFY category_rank <= 5),
+  QUALIFY category_rank <= {fixed.SEGMENT_TOP_CATEGORIES}),
 found AS (
   SELECT t.segment_id, t.category_name AS from_category, t.category_rank, i.*
   FROM seg_top t JOIN idx i ON i.antecedent = t.category_name
@@ -519,8 +519,8 @@ ORACLES: dict[str, str] = {
     "rule_lift_bands": _with(
         _FACT,
         _RULES,
-        """ SELECT antecedent_id, consequent_id, CASE WHEN lift * 1.5e0 >= 3 THEN '>=3'
-        WHEN lift * 1.5e0 >= 2 THEN '>=2' WHEN lift * 1.5e0 >= 1.5 THEN '>=1.5'
+        """ SELECT antecedent_id, consequent_id, CASE WHEN lift >= 3 THEN '>=3'
+        WHEN lift >= 2 THEN '>=2' WHEN lift >= 1.5 THEN '>=1.5'
         ELSE '<1.5' END AS band FROM rules""",
     ),
     "category_index": _with(
@@ -544,8 +544,8 @@ ORACLES: dict[str, str] = {
     "categories_with_rules": _with(
         _FACT, _RULES, " SELECT DISTINCT antecedent AS category_name FROM rules"
     ),
-    "overview_supports": _support(SUPPORT) + " ORDER BY support DESC, category_id LIMIT 20",
-    "overview_top_rules": _top_rules(20),
+    "overview_supports": _support(SUPPORT) + " ORDER BY support DESC, category_id LIMIT 30",
+    "overview_top_rules": _top_rules(30),
     "search_categories": _with(
         _FACT,
         _RULES,
@@ -581,6 +581,22 @@ ORACLES: dict[str, str] = {
         FROM lines GROUP BY 1""",
     ),
     "incremental_ingest": _TEXT_VISITS,
+    "latest_run": _with(
+        _FACT,
+        """ SELECT '2024-01-03' AS run_day, CAST(sum(quantity) AS BIGINT) AS total_units,
+        count(DISTINCT transaction_id) AS total_transactions,
+        count(DISTINCT client_id) AS total_clients FROM lines""",
+    ),
+    "fpgrowth_suggestions": _with(
+        _FACT,
+        _RULES,
+        f""" SELECT i.transaction_id, count(DISTINCT CASE WHEN own.category_id IS NULL
+          THEN m.y END) AS num_suggestions
+        FROM items i LEFT JOIN (SELECT x, y FROM metrics WHERE support >= {SUPPORT}e0
+          AND confidence >= {CONFIDENCE}e0) m ON i.category_id = m.x
+        LEFT JOIN items own ON own.transaction_id = i.transaction_id AND own.category_id = m.y
+        GROUP BY i.transaction_id""",
+    ),
     "run_history": _with(
         _FACT,
         """ SELECT CAST(rank AS INTEGER) AS rank, run_day, CAST(sum(quantity) AS BIGINT) AS total_units,

@@ -67,9 +67,32 @@ def _named(spark, sf_dir):
     return with_category_names(star.lines(spark, sf_dir), star.categories(spark, sf_dir))
 
 
+def _visits(spark, sf_dir):
+    """One grouping of the fact, stored: a row per transaction with its distinct categories."""
+    baskets = grain.baskets(star.lines(spark, sf_dir))
+    return materialize(
+        baskets.select(
+            "transaction_id",
+            "client_id",
+            "store_id",
+            "date",
+            "basket_size",
+            "num_categories",
+            F.transform("items", lambda i: i["category_id"]).alias("categories"),
+        ),
+        "visits",
+    )
+
+
+def _kpis(spark, sf_dir):
+    visits = _visits(spark, sf_dir)
+    return kpis.kpis(visits.select(F.explode("categories").alias("category_id")), visits)
+
+
 def _features(spark, sf_dir):
-    lines = star.lines(spark, sf_dir)
-    return feats.client_features(grain.transactions(lines), grain.client_items(lines))
+    visits = _visits(spark, sf_dir)
+    pairs = visits.select("client_id", F.explode("categories").alias("category_id")).distinct()
+    return feats.client_features(visits, pairs)
 
 
 def _baskets(spark, sf_dir):
@@ -94,14 +117,19 @@ def _segment_recommendations(spark, sf_dir, n=20):
         grain.client_items(grain.unnest(baskets)),
         categories,
         star.market_segments(spark, sf_dir),
-        5,
     )
     index = rules.category_index(_mined(baskets, categories))
     return recommend.recommend_by_segment(top, index, n)
 
 
 def _segmentation(spark, sf_dir):
-    return seg.fit_segments(_features(spark, sf_dir))
+    """The fitted segments, their clients stored, so that the cached features can go."""
+    fitted = seg.fit_segments(materialize(_features(spark, sf_dir), "features"))
+    try:
+        fitted.clients = materialize(fitted.clients, "clients")
+    finally:
+        fitted.release()
+    return fitted
 
 
 def _text_directory(spark, sf_dir):
@@ -260,8 +288,7 @@ def client_labels(spark, sf_dir):
 
 @_query
 def overall_kpis(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return kpis.kpis(lines, grain.transactions(lines))
+    return _kpis(spark, sf_dir)
 
 
 @_query
@@ -335,8 +362,8 @@ def store_daily_series(spark, sf_dir):
 
 @_query
 def store_columns(spark, sf_dir):
-    wide = timeseries.store_columns(_txns(spark, sf_dir), [1, 2, 3, 4, 5])
-    return wide.select("date", *[F.col(str(i)).alias(f"store_{i}") for i in range(1, 6)])
+    wide = timeseries.store_columns(_txns(spark, sf_dir))
+    return wide.select("date", *[F.col(s).alias(f"store_{s}") for s in wide.columns if s != "date"])
 
 
 # ---- distributions ----------------------------------------------------------
@@ -545,7 +572,10 @@ def unnested_baskets(spark, sf_dir):
 
 @_query
 def category_support(spark, sf_dir):
-    return rules.category_support(_baskets(spark, sf_dir), star.categories(spark, sf_dir))
+    return rules.category_support(
+        materialize(grain.baskets(_lines(spark, sf_dir)).select("transaction_id", "items"), "items"),
+        star.categories(spark, sf_dir),
+    )
 
 
 @_query
@@ -579,7 +609,7 @@ def top_rules(spark, sf_dir):
 @_query
 def rule_lift_bands(spark, sf_dir):
     return _rules(spark, sf_dir).select(
-        "antecedent_id", "consequent_id", c.lift_band(F.col("lift") * 1.5).alias("band")
+        "antecedent_id", "consequent_id", c.lift_band(F.col("lift")).alias("band")
     )
 
 
@@ -610,9 +640,8 @@ def fpgrowth_rules(spark, sf_dir):
 def fpgrowth_suggestions(spark, sf_dir):
     baskets = _baskets(spark, sf_dir)
     model = rules.fit_fpgrowth(baskets, SUPPORT, CONFIDENCE)
-    return rules.suggest_for_baskets(model, baskets).select(
-        "transaction_id", F.size("suggestions").alias("num_suggestions")
-    )
+    mined = rules.fpgrowth_rules(model, star.categories(spark, sf_dir), 0.0)
+    return rules.suggest_for_baskets(mined, baskets)
 
 
 @_query
@@ -636,7 +665,7 @@ def recommend_by_category_id(spark, sf_dir):
 def _overview(spark, sf_dir):
     baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
     mined = _mined(baskets, categories)
-    return recommend.overview(baskets, categories, mined, SUPPORT, CONFIDENCE, LIFT, n=20)
+    return recommend.overview(baskets, categories, mined, SUPPORT, CONFIDENCE, LIFT)
 
 
 @_query
@@ -726,18 +755,25 @@ def incremental_ingest(spark, sf_dir):
     return _units_by_visit(grain.unnest(ingest.read_ingested(spark, table)))
 
 
-@_query
-def run_history(spark, sf_dir):
+def _three_runs(spark, sf_dir):
     path = scratch_path(spark, "runs")
-    lines = _lines(spark, sf_dir)
-    totals = kpis.kpis(lines, grain.transactions(lines))
+    totals = materialize(_kpis(spark, sf_dir), "totals")
     for day in (1, 2, 3):
         marts.append_run(totals, path, datetime(2024, 1, day, 12))
-    newest = marts.run_history(spark.read.parquet(path), 2)
-    return newest.select(
-        "rank",
-        F.date_format("run_at", "yyyy-MM-dd").alias("run_day"),
-        "total_units",
-        "total_transactions",
-        "total_clients",
+    return spark.read.parquet(path)
+
+
+def _run_columns(runs):
+    return runs.withColumn("run_day", F.date_format("run_at", "yyyy-MM-dd")).drop(
+        "run_at", "total_categories", "total_stores", "date_start", "date_end"
     )
+
+
+@_query
+def run_history(spark, sf_dir):
+    return _run_columns(marts.run_history(_three_runs(spark, sf_dir), 2))
+
+
+@_query
+def latest_run(spark, sf_dir):
+    return _run_columns(marts.latest_run(_three_runs(spark, sf_dir)))

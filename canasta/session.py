@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,14 +42,45 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+#: Runtime setting that names the folder for intermediate tables.
+SCRATCH = "canasta.scratch"
+
+
+def use_scratch(spark: SparkSession, path: str | None) -> None:
+    """Names the session's folder for intermediate tables; None goes back to the configured one."""
+    if path:
+        spark.conf.set(SCRATCH, path)
+    else:
+        spark.conf.unset(SCRATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only when none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="canasta-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    """The folder for intermediate tables: that of :func:`use_scratch`, else ``spark.checkpoint.dir``.
+
+    There is no local fallback: executors could not see each other's files there.
+    """
+    folder = spark.conf.get(SCRATCH, None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError(
+            "no folder for intermediate tables: set spark.checkpoint.dir, or give a scratch path "
+            "that all executors share"
+        )
+    return folder.rstrip("/")
+
+
+@contextmanager
+def run_folder(spark: SparkSession, scratch: str | None = None) -> Iterator[str]:
+    """A folder of this run for all intermediate tables, removed at the end, also on failure."""
+    before = spark.conf.get(SCRATCH, None)
+    use_scratch(spark, scratch or before)
+    folder = scratch_path(spark, "run")
+    use_scratch(spark, folder)
+    try:
+        yield folder
+    finally:
+        use_scratch(spark, before)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

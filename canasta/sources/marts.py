@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from canasta import fixed
 from canasta.functions.columns import iso_dates, month_key, sanitize_floats
@@ -18,7 +20,16 @@ def write_mart(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Overwrites one mart. Text formats get ISO dates and no NaN or infinity."""
     if fmt == "json":
         df = iso_dates(df)
-    sanitize_floats(df).write.mode("overwrite").format(fmt).save(path)
+    df = sanitize_floats(df)
+    df.write.mode("overwrite").format(fmt).option("ignoreNullFields", "false").save(path)
+    schema = df.sparkSession.createDataFrame([(df.schema.json(),)], "value STRING")
+    schema.coalesce(1).write.mode("overwrite").text(_schema_path(path))
+
+
+def _schema_path(path: str) -> str:
+    """Beside the mart's own folder, so that listing the mart finds its data alone."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/_schemas/{name}"
 
 
 def write_marts(marts: Mapping[str, DataFrame], directory: str, fmt: str = "parquet") -> None:
@@ -29,9 +40,21 @@ def write_marts(marts: Mapping[str, DataFrame], directory: str, fmt: str = "parq
 def read_mart(
     spark: SparkSession, directory: str, name: str, fmt: str = "parquet"
 ) -> DataFrame | None:
-    """The mart as last written, or None when it was never written."""
+    """The mart as last written, or None when it was never written.
+
+    Its stored schema is used, so that null columns and empty marts keep their columns.
+    """
+    path = f"{directory.rstrip('/')}/{name}"
+    stored = _load(spark.read.format("text"), _schema_path(path))
+    reader = spark.read.format(fmt)
+    if stored is not None:
+        reader = reader.schema(StructType.fromJson(json.loads(stored.first()[0])))
+    return _load(reader, path)
+
+
+def _load(reader: DataFrameReader, path: str) -> DataFrame | None:
     try:
-        return spark.read.format(fmt).load(f"{directory.rstrip('/')}/{name}")
+        return reader.load(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None

@@ -205,7 +205,7 @@ def test_command_line_refresh(spark, data_dir, tmp_path):
     from canasta.__main__ import main
     from canasta.sources.marts import read_mart
 
-    # k-means needs clients: six more baskets of six more clients.
+    # Six more baskets of six more clients.
     extra = tmp_path / "data"
     (extra / "Transactions").mkdir(parents=True)
     (extra / "Products").mkdir()
@@ -214,7 +214,7 @@ def test_command_line_refresh(spark, data_dir, tmp_path):
     (extra / "Transactions" / "1_Tran.csv").write_text(content + "\n".join(lines) + "\n")
     (extra / "Products" / "Categories.csv").write_text(CATEGORIES, encoding="utf-8")
     out = str(tmp_path / "out")
-    main([str(extra), out, "--format", "json"])
+    main([str(extra), out, "--format", "json", "--n-init", "1"])
     totals = read_mart(spark, out, "executive_summary/kpis", "json").first()
     assert (totals.total_units, totals.total_transactions, totals.total_clients) == (38, 11, 9)
     segments = read_mart(spark, out, "clustering/segments", "json")
@@ -223,3 +223,18 @@ def test_command_line_refresh(spark, data_dir, tmp_path):
         "segment_id",
         "label",
     }
+
+
+def test_command_line_refresh_of_three_clients(spark, data_dir, tmp_path):
+    from canasta.__main__ import main
+    from canasta.session import SCRATCH, use_scratch
+    from canasta.sources.marts import read_mart
+
+    out, scratch = str(tmp_path / "out"), tmp_path / "scratch"
+    main([data_dir, out, "--n-init", "1", "--scratch", str(scratch)])
+    use_scratch(spark, None)
+    assert spark.conf.get(SCRATCH, None) is None and not list(scratch.iterdir())
+    assert read_mart(spark, out, "executive_summary/kpis").first().total_clients == 3
+    assert read_mart(spark, out, "clustering/summary").first().total_clients == 3
+    assert read_mart(spark, out, "client_segments/mapping").count() == 3
+    assert read_mart(spark, out, "recommendations/rules").count() == 6
