@@ -116,10 +116,11 @@ def contaminated(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("mark"), body.alias("body"))
     places = broadcast_if_small(items.select("k", "item_id", "size", F.posexplode("shingles").alias("item_at", "shingle")))
     shingled = with_shingles(rows.drop("doc_id"), "body", lengths)
-    total = F.size("s1")
+    shingled = shingled.withColumn("total", F.size("s1"))
     hits = None
     for k in lengths:
-        own = shingled.select("mark", total.alias("total"), F.posexplode(f"s{k}").alias("at", "shingle"))
+        # the outer form, as the inner one would filter by the array's size below every step that builds it
+        own = shingled.select("mark", "total", F.posexplode_outer(f"s{k}").alias("at", "shingle")).where("at is not null")
         found = own.join(places.where(F.col("k") == k), "shingle")
         found = found.select("mark", "item_id", "size", "k", "total", "at", "item_at")
         hits = found if hits is None else hits.union(found)
