@@ -33,7 +33,7 @@ LENGTH = 2048
 #: Sequences of a record batch.
 BATCH = 128
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 
 MANIFEST = "part int, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
