@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, as one document may be very long."""
+    """Prepares a session for Python stages: small Arrow batches, as one document may be very long, and
+    this package on all executors, once per application."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if not any(path.endswith("/canasta.zip") for path in context.listFiles):
+        context.addPyFile(_packed(folder(spark, "package")))
+
+
+def _packed(path: str) -> str:
+    """The package as a zip file in the shared folder."""
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    fs, base = pyarrow.fs.FileSystem.from_uri(path)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/canasta.zip") as sink:
+        sink.write(packed.getvalue())
+    return f"{path}/canasta.zip"
 
 
 def folder(spark: SparkSession, name: str) -> str:
