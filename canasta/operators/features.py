@@ -108,7 +108,8 @@ def zscores(
 
 def client_sample(df: DataFrame, n: int = fixed.FEATURE_SAMPLE, seed: int = fixed.SEED) -> DataFrame:
     """Exactly min(n, clients) rows, the same on every run and under any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col("client_id")), "client_id").limit(n)
+    key = F.md5(F.concat(F.lit(f"{seed}-"), F.col("client_id").cast("string")))
+    return df.orderBy(key, "client_id").limit(n)
 
 
 def client_count(features: DataFrame) -> DataFrame:

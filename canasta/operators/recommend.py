@@ -120,3 +120,25 @@ def recommend_for_clients(
         "lift",
         "support",
     )
+
+
+def client_answer(
+    segments: DataFrame,
+    labels: DataFrame,
+    top_categories: DataFrame,
+    segment_recommendations: DataFrame,
+    client_id: int | None = None,
+) -> DataFrame:
+    """The suggestions of :func:`recommend_for_clients` with the segment's label and top categories.
+
+    ``top_categories`` is an array in rank order, one short list per segment.
+    """
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "category_name")))
+    lists = top_categories.groupBy("segment_id").agg(ranked.alias("_ranked"))
+    lists = lists.select("segment_id", F.col("_ranked.category_name").alias("top_categories"))
+    described = lists.join(labels.withColumnRenamed("label", "segment_label"), "segment_id", "left")
+    if has_few_segments(segments):
+        described = F.broadcast(described)
+    return recommend_for_clients(segments, segment_recommendations, client_id).join(
+        described, "segment_id"
+    )

@@ -41,7 +41,8 @@ def basket_sets(baskets: DataFrame) -> DataFrame:
 def sample_baskets(baskets: DataFrame, fraction: float, seed: int = fixed.SEED) -> DataFrame:
     """Whole transactions chosen by a hash of their id; optional, nothing here needs it."""
     slots = 1_000_000
-    slot = F.pmod(F.xxhash64(F.lit(seed), F.col("transaction_id")), F.lit(slots))
+    key = F.md5(F.concat(F.lit(f"{seed}-"), F.col("transaction_id").cast("string")))
+    slot = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") % slots
     return baskets.filter(slot < int(round(fraction * slots)))
 
 

@@ -606,3 +606,51 @@ ORACLES: dict[str, str] = {
         GROUP BY rank, run_day""",
     ),
 }
+
+_MD5 = f"md5('{fixed.SEED}-' || CAST({{}} AS VARCHAR))"
+
+ORACLES |= {
+    "mart_executive_summary": ORACLES["categories_by_volume"],
+    "mart_time_series": ORACLES["store_daily_series"],
+    "mart_boxplot_data": ORACLES["basket_size_histogram"],
+    "mart_heatmap_data": ORACLES["feature_correlation"],
+    "mart_recommendations": ORACLES["association_rules"],
+    "mart_clustering": _with(_FACT, " SELECT count(DISTINCT client_id) AS total_clients FROM lines"),
+    "mart_client_segments": _with(_FACT, " SELECT DISTINCT client_id FROM lines"),
+    "segment_invariants": _with(
+        _FACT,
+        """ SELECT count(DISTINCT client_id) AS num_clients, CAST(0 AS BIGINT) AS mismatches,
+        1 AS sizes_in_order, 1 AS best_chosen FROM lines""",
+    ),
+    "feature_client_sample": _with(
+        _FACT,
+        _FEATURES,
+        f""" SELECT client_id, {", ".join(fixed.FEATURES)} FROM features
+        ORDER BY {_MD5.format("client_id")} LIMIT {fixed.FEATURE_SAMPLE}""",
+    ),
+    "given_segment_client_sample": _with(
+        _FACT,
+        _FEATURES,
+        f""" SELECT client_id, segment_id,
+        {", ".join(f"round({f}, 2) AS {f}" for f in fixed.SEGMENT_FEATURES)}
+        FROM members ORDER BY {_MD5.format("client_id")} LIMIT 100""",
+    ),
+    "sampled_baskets": _with(
+        _FACT,
+        f""" SELECT * FROM (SELECT transaction_id, strftime(date, '%Y-%m-%d') AS date, store_id,
+        client_id, category_id, quantity FROM lines)
+        WHERE CAST('0x' || substr({_MD5.format("transaction_id")}, 1, 8) AS BIGINT) % 1000000 < 250000""",
+    ),
+    "client_answer": _with(
+        _FACT,
+        _FEATURES,
+        _RULES,
+        _SEGMENT_RULES,
+        _SUMMARY,
+        """ SELECT CAST(7 AS BIGINT) AS client_id, r.*, label AS segment_label, top_categories
+        FROM seg_rec r JOIN summary s ON r.segment_id = s.segment_id
+        JOIN (SELECT segment_id, string_agg(category_name, '|' ORDER BY category_rank)
+              AS top_categories FROM seg_top GROUP BY segment_id) t ON t.segment_id = r.segment_id
+        WHERE rank <= 20 AND r.segment_id = (SELECT c_mktsegment FROM customer WHERE c_custkey = 7)""",
+    ),
+}

@@ -24,6 +24,7 @@ from canasta.operators import (
     timeseries,
 )
 from canasta.operators.enrich import with_category_names
+from canasta.plans import marts as documents
 from canasta.session import materialize, scratch_path, tune
 from canasta.sources import marts, star, text
 from canasta.streaming import ingest
@@ -505,6 +506,37 @@ def segment_client_sample(spark, sf_dir):
     return seg.segment_sample(_segmentation(spark, sf_dir).clients)
 
 
+@_query
+def given_segment_client_sample(spark, sf_dir):
+    clients = _features(spark, sf_dir).join(star.market_segments(spark, sf_dir), "client_id")
+    return seg.segment_sample(clients, 100)
+
+
+@_query
+def segment_invariants(spark, sf_dir):
+    """One row per k tried and one for the choice: all clients, ids by size, no client nearer elsewhere."""
+    features = materialize(_features(spark, sf_dir), "features")
+    fitted = seg.fit_segments(features)
+    clients = materialize(fitted.clients, "clients")
+    fitted.release()
+    names = fixed.SEGMENT_FEATURES
+    spread = features.agg(*[F.stddev_samp(x).alias(x) for x in names]).first()
+
+    def distance(center):
+        parts = [((F.col(x) - v) / (spread[x] or 1.0)) ** 2 for x, v in zip(names, center, strict=True)]
+        return sum(parts, F.lit(0.0))
+
+    far = F.array(*[distance(c) for c in fitted.centers])
+    mismatch = F.get(far, F.col("segment_id")) > F.array_min(far) + 1e-6
+    sizes = [r["count"] for r in clients.groupBy("segment_id").count().orderBy("segment_id").collect()]
+    return clients.agg(
+        F.count(F.lit(1)).alias("num_clients"),
+        F.sum(mismatch.cast("int")).alias("mismatches"),
+        F.lit(sizes == sorted(sizes, reverse=True)).cast("int").alias("sizes_in_order"),
+        F.lit(fitted.silhouette == max(s for _, _, s in fitted.sweep)).cast("int").alias("best_chosen"),
+    )
+
+
 @_query
 def scaled_client_vectors(spark, sf_dir):
     vectors, _, _ = seg.scaled_vectors(_features(spark, sf_dir))
@@ -717,6 +749,21 @@ def recommend_for_one_client(spark, sf_dir):
     )
 
 
+@_query
+def client_answer(spark, sf_dir):
+    baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
+    segments = star.market_segments(spark, sf_dir)
+    top = materialize(
+        seg.segment_top_categories(grain.client_items(grain.unnest(baskets)), categories, segments), "top"
+    )
+    index = rules.category_index(_mined(baskets, categories))
+    labels = seg.segment_summary(_features(spark, sf_dir), segments).select("segment_id", "label")
+    answer = recommend.client_answer(
+        segments, labels, top, recommend.recommend_by_segment(top, index), client_id=7
+    )
+    return answer.withColumn("top_categories", F.array_join("top_categories", "|"))
+
+
 # ---- sinks and runs ---------------------------------------------------------
 
 
@@ -737,6 +784,66 @@ def mart_round_trip_json(spark, sf_dir):
     return _round_trip(spark, sf_dir, "json")
 
 
+def _stored(spark, documents, name, fmt="parquet"):
+    """One mart of a document, as a reader finds it after all of the document was written."""
+    directory = scratch_path(spark, "marts")
+    marts.write_marts(documents, directory, fmt)
+    return marts.read_mart(spark, directory, name, fmt)
+
+
+@_query
+def mart_executive_summary(spark, sf_dir):
+    baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
+    document = documents.executive_summary(grain.unnest(baskets), categories, baskets.drop("items"))
+    return _stored(spark, document, "categories_by_volume")
+
+
+@_query
+def mart_time_series(spark, sf_dir):
+    return _stored(spark, documents.time_series(_txns(spark, sf_dir)), "by_store_daily", "json")
+
+
+@_query
+def mart_boxplot_data(spark, sf_dir):
+    baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
+    units = distributions.category_units_of_baskets(baskets, categories)
+    document = documents.boxplot_data(units, baskets.drop("items"))
+    return _stored(spark, document, "basket_size_histogram", "json")
+
+
+@_query
+def mart_heatmap_data(spark, sf_dir):
+    features = materialize(_features(spark, sf_dir), "features")
+    return _stored(spark, documents.heatmap_data(spark, features), "correlation_matrix")
+
+
+@_query
+def mart_clustering(spark, sf_dir):
+    features = materialize(_features(spark, sf_dir), "features")
+    fitted = seg.fit_segments(features)
+    try:
+        document = documents.clustering(spark, fitted, features)
+        return _stored(spark, document, "summary", "json").select("total_clients")
+    finally:
+        fitted.release()
+
+
+@_query
+def mart_client_segments(spark, sf_dir):
+    baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
+    fitted = _segmentation(spark, sf_dir)
+    bought = grain.client_items(grain.unnest(baskets))
+    document = documents.client_segments(spark, fitted, bought, categories, fitted.mapping())
+    return _stored(spark, document, "mapping").select("client_id")
+
+
+@_query
+def mart_recommendations(spark, sf_dir):
+    baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
+    document = documents.recommendations(baskets, categories, SUPPORT, CONFIDENCE, LIFT)
+    return _stored(spark, document, "rules", "json")
+
+
 @_query
 def fact_table_round_trip(spark, sf_dir):
     path = scratch_path(spark, "fact")
