@@ -15,10 +15,14 @@ from canasta.operators.enrich import with_category_names
 #: Identical lines are numbered in runs of at most this length per row.
 COPY_RUN = 100_000
 
-#: Buckets of the id space; a bucket holds about rows / ID_BUCKETS lines.
-ID_BUCKETS = 4096
-_BUCKET_ROWS_BITS = 31
-_BATCH_BITS = 43
+#: Buckets of the id space; a bucket holds about rows / 2^18 lines.
+_BUCKET_BITS = 18
+ID_BUCKETS = 1 << _BUCKET_BITS
+#: Bits of a line's position in its bucket: all that are left in a load, fewer in an ingest batch,
+#: whose number takes the 25 bits above. Positions and batch numbers beyond them are errors.
+_LOAD_BITS = 62 - _BUCKET_BITS
+_BATCH_ROW_BITS = 20
+MAX_BATCH = 1 << (63 - _BUCKET_BITS - _BATCH_ROW_BITS)
 
 RAW_SCHEMA = ", ".join(f"{name} STRING" for name in fixed.RAW_COLUMNS)
 
@@ -160,7 +164,7 @@ def nest_items(rows: DataFrame) -> DataFrame:
 # ---- transaction ids --------------------------------------------------------
 
 
-def number_rows(raw: DataFrame, batch: int = 0) -> DataFrame:
+def number_rows(raw: DataFrame, batch: int | None = None) -> DataFrame:
     """Adds ``transaction_id``: unique, and the same however the files are split.
 
     Identical lines of a file are interchangeable, so it is enough to count them
@@ -170,6 +174,8 @@ def number_rows(raw: DataFrame, batch: int = 0) -> DataFrame:
     for hot lines as well. ``batch`` selects a disjoint id range per ingest
     batch, so a repeated batch gets the same ids again.
     """
+    if batch is not None and not 0 <= batch < MAX_BATCH:
+        raise OverflowError(f"batch {batch} has no id range: there are {MAX_BATCH}")
     line = ["file_name", *fixed.RAW_COLUMNS]
     copies = raw.groupBy(*line).agg(F.count(F.lit(1)).alias("_copies"))
     short = copies.filter(F.col("_copies") <= COPY_RUN).select(
@@ -199,17 +205,25 @@ def number_rows(raw: DataFrame, batch: int = 0) -> DataFrame:
     numbered = short.unionByName(long).withColumn(
         "_bucket", F.pmod(F.xxhash64(*line, "_copy"), F.lit(ID_BUCKETS))
     )
+    bits = _LOAD_BITS if batch is None else _BATCH_ROW_BITS
     position = F.row_number().over(Window.partitionBy("_bucket").orderBy(*line, "_copy"))
-    return numbered.select(
+    start = (batch or 0) << (_BUCKET_BITS + _BATCH_ROW_BITS)
+    return numbered.withColumn("_position", checked_position(position, bits)).select(
         (
-            F.lit(batch).cast("bigint") * F.lit(2**_BATCH_BITS)
-            + F.col("_bucket").cast("bigint") * F.lit(2**_BUCKET_ROWS_BITS)
-            + position.cast("bigint")
+            F.lit(start).cast("bigint")
+            + F.col("_bucket").cast("bigint") * F.lit(1 << bits).cast("bigint")
+            + F.col("_position")
         ).alias("transaction_id"),
         *line,
     )
 
 
+def checked_position(position: Column, bits: int) -> Column:
+    """``position`` as a long, or an error where it would run into the next bucket's ids."""
+    beyond = F.raise_error(F.lit(f"more than {1 << bits} lines in a bucket of the id space"))
+    return F.when(position < (1 << bits), position.cast("bigint")).otherwise(beyond.cast("bigint"))
+
+
 def number_rows_by_position(raw: DataFrame) -> DataFrame:
     """Adds ``transaction_id`` from the row's position in the scan.
 

@@ -44,8 +44,11 @@ def append_new_files(
     The checkpoint remembers the files. A batch may run twice after a failure, so
     each writes its own partition of the basket table with overwrite, and its transaction
     ids depend only on its content and number: a repeat leaves the same rows.
-    Both paths must be on storage every executor reaches.
+    Both paths must be on storage every executor reaches. A fresh checkpoint would number batches from 0
+    again, over those of an existing table, and is refused.
     """
+    if not _exists(spark, checkpoint_path) and _exists(spark, baskets_path):
+        raise ValueError(f"{baskets_path} has batches, but the checkpoint {checkpoint_path} is missing")
 
     def write_batch(rows: DataFrame, batch_id: int) -> None:
         baskets = nest_items(parse_rows(number_rows(rows, batch_id), strict))
@@ -61,5 +64,13 @@ def append_new_files(
 
 
 def read_ingested(spark: SparkSession, baskets_path: str) -> DataFrame:
-    """The baskets of all batches so far."""
+    """The baskets of all batches so far; an empty table before the first file."""
+    if not _exists(spark, baskets_path):
+        raw = spark.createDataFrame([], RAW_SCHEMA + ", file_name STRING")
+        return nest_items(parse_rows(number_rows(raw, 0)))
     return spark.read.parquet(baskets_path).drop("batch_id")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
