@@ -5,13 +5,13 @@ frequency of its words. Each text draws ``BANDS × ROWS`` consistent weighted sa
 one with the probability of their weighted Jaccard similarity. Texts that agree on a whole band share a
 bucket, and a pair is a link when its exact weighted Jaccard similarity is at least ``SIMILARITY``. Classes
 are the connected components of the links. A pair at the threshold meets with probability
-1 - (1 - 0.8³)^12 > 0.9998.
+1 - (1 - 0.8⁴)^14 > 0.999.
 
 Large buckets are not expanded into pairs. Equal texts are one node from the start. In each round a bucket
-that still holds several classes compares one leader with its nodes of other classes, and links join
-classes. Once few pairs of different classes are left in all buckets, or a round no longer halves them,
+that still holds several classes compares a few leaders with its nodes of other classes, and links join
+classes. Once few pairs of different classes are left in all buckets, or a round no longer joins many,
 those left are compared one by one. So no link between different classes is missed, while links within
-a class need not be looked for.
+a class need not be looked for. Pairs whose total weights alone rule out the threshold are left out.
 
 Defined cases: a null text is an empty one; empty texts are equal, hence one class. A text of fewer than
 five words is one shingle. Rows with equal ids are one document each; the class id is the least id of
@@ -33,11 +33,13 @@ from canasta.llm.words import Ranges, mixed, window_starts, word_chunks
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 12
-ROWS = 3
+BANDS = 14
+ROWS = 4
 CELLS = 1 << 18
 #: Pairs left per compared node at which a round compares them all.
 PAIRS_PER_NODE = 2
+#: Leaders of a bucket and round.
+LEADERS = 16
 
 _TABLE = 1 << 16
 _MASK = np.uint64(_TABLE - 1)
@@ -140,7 +142,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node (of equal texts) and bands (null without shingles) of every row."""
+    """doc_id, node (of equal texts), bands (empty without shingles) and total weight of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     small_batches(docs.sparkSession)
 
@@ -154,13 +156,15 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: s
                 some[doc] = True
                 border = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(border), pa.array(bands[some].ravel().view(np.int64)))
+                total = np.bincount(doc, weight, end - at)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, end - at), nodes.slice(at, end - at), lists], ["doc_id", "node", "bands"]
+                    [ids.slice(at, end - at), nodes.slice(at, end - at), lists, pa.array(total)],
+                    ["doc_id", "node", "bands", "weight"],
                 )
 
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(body.cast("binary"))).alias("node"), body.alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, node binary, bands array<long>")
+    return rows.mapInArrow(sign, "doc_id long, node binary, bands array<long>, weight double")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -233,9 +237,9 @@ def near_duplicates(
     """doc_id, class_id (the least doc_id of the class), node (its text) and class_no of every row of ``docs``."""
     idf, _ = document_frequencies(docs, text)
     signed = written(signatures(docs, idf, doc_id, text), "signatures")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.max("weight").alias("weight"))
     nodes = written(nodes, "nodes")
-    entries = nodes.select(F.explode("bands").alias("bucket"), "node")
+    entries = nodes.select(F.explode("bands").alias("bucket"), "node", "weight")
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     entries = written(entries.join(shared, "bucket"), "buckets")
     members = entries.select("node").distinct()
@@ -261,21 +265,23 @@ def near_duplicates(
         if not left:
             break
         rest = now.join(open_buckets.select("bucket"), "bucket")
-        last = left <= PAIRS_PER_NODE * total or (before is not None and left > before / 2)
-        before = left
+        apart = open_buckets.agg(F.sum(F.col("classes") - 1)).first()[0]
+        last = left <= PAIRS_PER_NODE * total or (before is not None and apart > before * 3 / 4)
+        before = apart
         if last:
-            other = rest.select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b"))
-            pairs = rest.withColumnRenamed("node", "a").join(other, "bucket")
-            pairs = pairs.where((F.col("class") != F.col("class_b")) & (F.col("a") < F.col("b")))
+            chosen, order = rest, F.col("node") < F.col("other")
         else:
-            leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "class")).alias("leader")
-            leaders = rest.groupBy("bucket").agg(leader)
-            met = rest.join(leaders, "bucket").where(F.col("class") != F.col("leader.class"))
-            pairs = met.select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
+            rank = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+            chosen = rest.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= LEADERS)
+            order = F.col("node") != F.col("other")
+        chosen = chosen.select(
+            "bucket", F.col("node").alias("other"), F.col("class").alias("class_b"), F.col("weight").alias("weight_b")
+        )
+        fits = F.least("weight", "weight_b") >= F.greatest("weight", "weight_b") * (threshold - 1e-9)
+        met = rest.join(chosen, "bucket").where((F.col("class") != F.col("class_b")) & order & fits)
+        pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if checked is not None:
-            seen = checked.union(checked.select(F.col("b"), F.col("a")))
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         fresh = written(similar_pairs(pairs, texts, idf, threshold), "linked")
         links = fresh if links is None else links.union(fresh)
