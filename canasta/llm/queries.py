@@ -11,6 +11,7 @@ from canasta.llm import (
     licenses,
     mixing,
     near,
+    oracles,
     recompression,
     sharding,
     suffixes,
@@ -88,4 +89,4 @@ def registered() -> dict:
     }
 
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_suffixes": oracles.OP5, "op8_recompression": oracles.OP8}
