@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canasta.llm.shared import written
+from canasta.session import broadcast_if_small
+
 K = 5
 S = 2
 #: Documents of one block of neighbours.
@@ -93,23 +96,26 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block
     """doc_id, body and next_body: the text of the next document by descending id; the first after the last.
 
     Equal ids are ordered by text, null ids come last. Neighbours meet in blocks of ids; the last row of
-    a block takes the first text of the block below, found by a window over one narrow row per block.
+    a block takes the first text of the block below, found by a window over one narrow row per block. First
+    ids are found without texts, so that only the first texts themselves travel a second time.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("body"),
         F.coalesce(_blocks(docs, doc_id, block), F.array(F.lit(-1.0), F.lit(-1.0))).alias("block"),
     )
-    heads = rows.groupBy("block").agg(
-        F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", F.col("body"))).alias("head")
-    )
+    named = F.struct(F.col("doc_id").isNotNull(), "doc_id")
+    tops = rows.select("block", named.alias("name")).groupBy("block").agg(F.max("name").alias("name"))
+    first = broadcast_if_small(written(tops, "tops"))
+    heads = rows.withColumn("name", named).join(first, ["block", "name"]).groupBy("block").agg(F.max("body").alias("head"))
+    heads = written(heads, "heads")
     order = Window.orderBy(F.col("block").desc())
     every = Window.partitionBy()
     links = heads.select("block").select(
         F.coalesce(F.lead("block").over(order), F.max("block").over(every)).alias("block"),
         F.col("block").alias("above"),
     )
-    after = heads.join(links, "block").select(F.col("above").alias("block"), F.col("head.body").alias("wrap"))
+    after = heads.join(links, "block").select(F.col("above").alias("block"), F.col("head").alias("wrap"))
     inside = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("body").desc())
     ahead = rows.withColumn("next_body", F.lead("body").over(inside))
     return ahead.join(after, "block").select(
