@@ -1,11 +1,14 @@
 """Benchmark decontamination by SimHash windows.
 
 Texts are compared as words of letters and digits, lower-cased, in shingles of five words (all words for
-shorter items). A window has as many words as a benchmark item and is laid where it shares a shingle with
-it at the same place; a window that shares no shingle has similarity 0 and is left out before it is made. So
-are pairs with fewer shared places than the threshold asks for.
-
-Each window and item gets a 64-bit SimHash of its shingles, weighted by their counts. Fingerprints are
+shorter items). A window has as many words as a benchmark item. Windows are laid around all places where
+enough of an item's shingles lie close together, in whatever order: a window below the threshold's share of
+shared places cannot reach the similarity and is left out before it is made. Of the others those that end at
+a shared place are made: moving a window back to such a place takes no shared shingle from it, so the
+best window of a document and item is among them, and the first of equally good ones.
+
+Each window and item gets a 64-bit SimHash of its shingles, the repeats of a shingle numbered and hashed
+apart, so that the overlap of counts decides and not their squares. Fingerprints are
 cut into ``BLOCKS`` blocks; if two differ in at most ``RADIUS`` bits, some block differs in at most
 ``RADIUS // BLOCKS``, so an index of the items' blocks with that many bits flipped finds every pair
 within the radius. The radius is more than four deviations beyond what a similarity of 0.8 makes of 64
@@ -64,6 +67,14 @@ def simhash(shingles: Column) -> Column:
     return F.aggregate(every, F.lit(0).cast("long"), lambda whole, b: whole.bitwiseOR(b))
 
 
+def occurrences(shingles: str) -> Column:
+    """The shingles, of which the second, third, ... occurrence gets a hash of its own."""
+    x = F.col(shingles)
+    seen = lambda y, i: F.size(F.filter(F.slice(x, 1, i), lambda z: z == y))
+    apart = F.transform(x, lambda y, i: F.when(seen(y, i) > 0, F.xxhash64(y, seen(y, i))).otherwise(y))
+    return F.when(F.size(F.array_distinct(x)) == F.size(x), x).otherwise(apart)
+
+
 def _block(fingerprint: str, number: Column) -> Column:
     bits = 64 // BLOCKS
     moved = F.call_function("shiftrightunsigned", F.col(fingerprint), number * bits)
@@ -114,23 +125,25 @@ def contaminated(
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("mark"), body.alias("body"))
-    places = broadcast_if_small(items.select("k", "item_id", "size", F.posexplode("shingles").alias("item_at", "shingle")))
+    places = items.select("k", "item_id", "size", F.explode(F.array_distinct("shingles")).alias("shingle"))
+    places = broadcast_if_small(places)
     shingled = with_shingles(rows.drop("doc_id"), "body", lengths)
-    shingled = shingled.withColumn("total", F.size("s1"))
     hits = None
     for k in lengths:
         # the outer form, as the inner one would filter by the array's size below every step that builds it
-        own = shingled.select("mark", "total", F.posexplode_outer(f"s{k}").alias("at", "shingle")).where("at is not null")
+        own = shingled.select("mark", F.posexplode_outer(f"s{k}").alias("at", "shingle")).where("at is not null")
         found = own.join(places.where(F.col("k") == k), "shingle")
-        found = found.select("mark", "item_id", "size", "k", "total", "at", "item_at")
+        found = found.select("mark", "item_id", "size", "k", "at")
         hits = found if hits is None else hits.union(found)
     if hits is None:
         return rows.limit(0).select("doc_id", "mark", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("first_word"), F.lit(0.0).alias("similarity"))
-    first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("total") - F.col("size")))
-    hits = written(hits.select("mark", "item_id", "size", "k", "at", first.alias("first")).distinct(), "hits")
-    enough = hits.groupBy("mark", "item_id", "size", "k").agg(F.count_distinct("at").alias("places"))
-    enough = enough.where(F.col("places") >= threshold * (F.col("size") - F.col("k") + 1) - 1e-9)
-    windows = hits.join(enough.select("mark", "item_id"), ["mark", "item_id"]).select("mark", "size", "k", "first").distinct()
+    spread = hits.groupBy("mark", "item_id", "size", "k").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    # windows that end at a shared place and have enough of them, wherever these lie in the item
+    span = F.col("size") - F.col("k") + 1
+    need = F.greatest(F.lit(1), F.ceil(threshold * span - 1e-9).cast("int"))
+    full = lambda at, i: (i >= need - 1) & (F.get("places", i - need + 1) > at - span)
+    starts = F.transform(F.filter("places", full), lambda at: F.greatest(F.lit(0), at - span + 1))
+    windows = spread.select("mark", "size", "k", F.explode(starts).alias("first")).distinct()
     windows = written(windows, "windows")
 
     marks = broadcast_if_small(windows.select("mark").distinct())
@@ -138,11 +151,13 @@ def contaminated(
     again = with_shingles(again, "body", lengths).drop("body")
     chosen = F.get(F.array(*(F.col(f"s{i}") for i in range(1, max(lengths) + 1))), F.col("k") - 1)
     cut = windows.join(again, "mark").withColumn("own", F.slice(chosen, F.col("first") + 1, F.col("size") - F.col("k") + 1))
-    cut = written(cut.select("mark", "size", "first", "own", simhash(F.col("own")).alias("print")), "prints")
+    cut = written(cut.select("mark", "size", "first", "own", occurrences("own").alias("votes")), "cuts")
+    cut = written(cut.select("mark", "size", "first", "own", simhash(F.col("votes")).alias("print")), "prints")
 
     probes = cut.select("mark", "size", "first", "print", _numbers().alias("block"))
     probes = probes.withColumn("value", _block("print", F.col("block")))
-    index = items.select("item_id", "size", simhash(F.col("shingles")).alias("item_print"))
+    index = written(items.select("item_id", "size", occurrences("shingles").alias("votes")), "votes")
+    index = index.select("item_id", "size", simhash(F.col("votes")).alias("item_print"))
     index = index.select("item_id", "size", "item_print", _numbers().alias("block"))
     index = index.withColumn("value", F.explode(F.transform(_flips(), lambda m: _block("item_print", F.col("block")).bitwiseXOR(m))))
     near = probes.join(broadcast_if_small(index), ["size", "block", "value"])

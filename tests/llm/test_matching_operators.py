@@ -175,6 +175,39 @@ def test_leaks_are_those_of_all_windows(spark, corpus, benchmark):
     assert got == expected and (5, 0) in got and (83, 4) in got
 
 
+def best_window(text, item_text):
+    """(similarity, first word) of the best of all windows, the first of equally good ones."""
+    words, body = plain(item_text), plain(text)
+    k = min(5, len(words))
+    own, best = shingles(words, k), (0.0, 0)
+    for at in range(max(1, len(body) - len(words) + 1)):
+        part = shingles(body[at : at + len(words)], k)
+        best = max(best, (sum((own & part).values()) / sum((own | part).values()), -at))
+    return best[0], -best[1]
+
+
+def test_leaks_in_another_order_are_found(spark):
+    """Displaced halves, and repeats whose counts outweigh the shared shingles' squares."""
+    a, b = [f"a{i}" for i in range(22)], [f"b{i}" for i in range(22)]
+    lead, tail = [f"l{i}" for i in range(60)], [f"t{i}" for i in range(60)]
+    common = [f"c{i}" for i in range(164)]
+    items = [(0, a + b), (1, common + ["x"] * 16)]
+    docs = [
+        (0, lead + b + a + tail),
+        (1, b + a),
+        (2, lead + b[:20] + ["new"] + a + tail),
+        (3, lead + b + tail + a),
+        (4, lead + common + ["y"] * 16 + tail),
+        (5, lead + b + a + a[:9] + b + a + tail),
+    ]
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    rows = decontamination.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    got = {(r["doc_id"], r["item_id"]): (pytest.approx(r["similarity"]), r["first_word"]) for r in rows}
+    every = {(d, i): best_window(" ".join(w), " ".join(v)) for d, w in docs for i, v in items}
+    assert got == {pair: best for pair, best in every.items() if best[0] >= 0.8 - 1e-9}
+    assert {(0, 0), (1, 0), (4, 1), (5, 0)} <= got.keys() and (3, 0) not in got
+
+
 def test_fingerprints_within_the_radius_meet(spark):
     a, b = 0x0123456789ABCDEF, 0x0123456789ABCDEF
     for bit in (0, 1, 9, 10, 17, 18, 25, 26, 33, 34, 41, 42, 49, 50, 57, 58, 2, 11, 19, 27, 35, 43, 51):
