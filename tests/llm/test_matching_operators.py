@@ -256,6 +256,41 @@ def test_licenses_in_texts(spark):
     assert not {d for d, _ in got} & {300, 301, 302, 303}
 
 
+def brute_licenses(text, templates, threshold=0.8):
+    """license -> (containment, first word) over all windows of the definition."""
+    found, body = {}, folded(text)
+    pairs = list(zip(body, body[1:]))
+    for name, template in templates.items():
+        words = folded(template)
+        own, width = set(zip(words, words[1:])), len(words) + 2 * (len(words) // 4) - 1
+        for at in range(len(pairs)):
+            share = len(own & set(pairs[at : at + width])) / len(own)
+            if share >= threshold - 1e-9 and share > found.get(name, (0.0, 0))[0]:
+                found[name] = share, next(i for i in range(at, len(pairs)) if pairs[i] in own)
+    return found
+
+
+def test_edited_and_truncated_notices_are_those_of_all_windows(spark):
+    rng = np.random.default_rng(3)
+    filler = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    docs = ["Licensed under the Apache License, Version 2.", "Licensed under", "all rights reserved", "x"]
+    for text in licenses.TEMPLATES.values():
+        words = folded(text)
+        for turn in range(24):
+            edited = list(words)
+            for _ in range(turn % 5):
+                at = int(rng.integers(0, len(edited) + 1))
+                edited[at : at + int(rng.integers(0, 2))] = filler(int(rng.integers(0, 3)))
+            cut = edited[turn % 3 : len(edited) - turn % 2]
+            half = len(cut) // 2
+            cut = cut[half:] + cut[:half] if turn % 6 == 5 else cut
+            docs.append(" ".join(cut if turn % 4 == 0 else [*filler(turn), *cut, *filler(9), *(words if turn == 23 else [])]))
+    rows = licenses.find_licenses(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["license"]): (pytest.approx(r["containment"]), r["first_word"]) for r in rows}
+    expected = {(i, name): best for i, text in enumerate(docs) for name, best in brute_licenses(text, licenses.TEMPLATES).items()}
+    assert got == expected and (0, "Apache-2.0") in got and len(got) == len(rows)
+
+
 def test_license_edge_cases(odd, empty):
     assert licenses.find_licenses(odd).count() == 0
     assert licenses.find_licenses(empty).count() == 0
