@@ -1,12 +1,14 @@
 """Document fingerprints of closed syncmers.
 
-The alphabet is words. Among the k-mers of a text (k words), those are anchors whose smallest inner
+The alphabet is words; a long word or one of a script without blanks is cut into units (``units``), so that
+texts without blanks have local anchors too. A word is cut or not by itself alone. Among the k-mers of a text (k words), those are anchors whose smallest inner
 s-mer, by hash, lies at the first or last place. Whether a k-mer is an anchor depends on its own words
 alone, so an edit only touches the anchors that overlap it, and equal passages carry equal anchors.
 
 The fingerprint lists the anchors' 32-bit hashes in text order, as hexadecimal digits, whole. The
 likeness of two fingerprints is the Jaccard index of their anchor sets; two empty ones are alike (1).
-A text of fewer than k words has one anchor, the hash of all its words; one without words has none.
+A text without a closed syncmer, such as one of fewer than k words, has one anchor, the hash of all its words;
+one without words has none.
 A null text is an empty one. Words are maximal runs of anything but blank, tab and line breaks.
 """
 
@@ -24,6 +26,24 @@ S = 2
 BLOCK = 2000
 #: Ranges that ids are first split into.
 RANGES = 32
+#: Scripts written without blanks between words.
+UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+#: Words of more characters than this are cut.
+LONGEST = 24
+#: A word that is cut, and its units: code points of those scripts and of signs, runs of letters and of digits.
+CUT = rf"[{UNSPACED}]{{3}}|[^\x20\x09-\x0D]{{{LONGEST + 1}}}"
+UNIT = rf"(?s)[{UNSPACED}]|\p{{Lu}}*[\p{{L}}\p{{M}}&&[^\p{{Lu}}{UNSPACED}]]+|\p{{Lu}}+|\p{{N}}+|."
+
+
+def units(text: str) -> Column:
+    """The words of a text, of which long ones and those of scripts without blanks are cut.
+
+    A run of lower-case letters of other scripts is one unit, however long. Texts without a word to cut
+    are only split.
+    """
+    words = F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
+    parts = lambda w: F.when(w.rlike(CUT), F.regexp_extract_all(w, F.lit(UNIT), F.lit(0))).otherwise(F.array(w))
+    return F.when(F.col(text).rlike(CUT), F.flatten(F.transform(words, parts))).otherwise(words)
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
@@ -33,8 +53,7 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
     """
     inner = k - s + 1
     h, m, low = f"{out}_h", f"{out}_s", f"{out}_low"
-    words = F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
-    df = df.withColumn(h, F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn(h, F.transform(units(text), lambda w: F.xxhash64(w)))
     smer = F.col(h)
     for i in range(1, s):
         tail = F.slice(F.col(h), i + 1, F.greatest(F.lit(0), F.size(h) - s + 1))
@@ -55,8 +74,9 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
             F.hash(*(F.get(m, i + j) for j in range(0, inner, s)), F.get(m, i + inner - 1)),
         ),
     )
-    short = F.when(F.size(h) > 0, F.array(F.hash(h))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, F.when(F.size(h) < k, short).otherwise(F.array_compact(chosen))).drop(h, m, low)
+    whole = F.when(F.size(h) > 0, F.array(F.hash(h))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn(out, F.array_compact(chosen))
+    return df.withColumn(out, F.when((F.size(h) < k) | (F.size(out) == 0), whole).otherwise(F.col(out))).drop(h, m, low)
 
 
 def fingerprint(anchors: str) -> Column:

@@ -1,6 +1,7 @@
 """Sharding, token files, mixing, substring dedup and fingerprints against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -233,6 +234,22 @@ def test_syncmers_are_those_of_the_definition(corpus):
         assert len(r["fingerprint"]) == 8 * expected
 
 
+def test_short_texts_and_texts_without_blanks_keep_their_anchors(spark):
+    short = [" ".join(f"w{i}x{j}" for j in range(5 + i % 2)) for i in range(60)]
+    glyphs = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(300))
+    thai = "".join(chr(0x0E01 + i * i * i % 46) for i in random.Random(2).sample(range(9000), 300))
+    code = "".join(f"f{i}(a,b{i % 7});" for i in range(200))
+    key = "".join(f"{chr(97 + i % 26)}{chr(65 + i * 3 % 26)}{i}" for i in range(200))
+    docs = list(enumerate([*short, glyphs, thai, code, key, "一二三四五六七八"]))
+    rows = {r["doc_id"]: r for r in syncmers.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    prints = [rows[i]["fingerprint"] for i in range(len(docs))]
+    assert all(prints) and len(set(prints)) == len(docs)
+    for i in range(60):
+        assert len(prints[i]) == 8 * max(1, len(brute_syncmers(short[i])))
+    assert all(rows[i]["near_next"] == 0.0 for i in range(60))
+    assert all(0.3 < rows[i]["near_edited"] < 1 for i in range(60, 64)), [rows[i]["near_edited"] for i in range(60, 64)]
+
+
 def test_edited_texts_and_likeness(corpus):
     rows = {r["doc_id"]: r for r in syncmers.fingerprints(corpus).collect()}
     docs = sorted(((r["doc_id"], r["text"] or "") for r in corpus.collect()), reverse=True)
