@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from canasta.llm import (
+    collocations,
     decontamination,
     language,
     licenses,
@@ -14,9 +15,11 @@ from canasta.llm import (
     oracles,
     recompression,
     sharding,
+    spelling,
     suffixes,
     syncmers,
     tokens,
+    urls,
 )
 from canasta.llm.shared import table
 
@@ -71,6 +74,18 @@ def op10_near(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_urls(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages")).drop("step")
+
+
 def registered() -> dict:
     return {
         f.__name__: f
@@ -85,6 +100,9 @@ def registered() -> dict:
             op8_recompression,
             op9_syncmers,
             op10_near,
+            op11_spelling,
+            op12_collocations,
+            op13_urls,
         )
     }
 
