@@ -107,4 +107,10 @@ def registered() -> dict:
     }
 
 
-ORACLES = {"op5_suffixes": oracles.OP5, "op8_recompression": oracles.OP8}
+ORACLES = {
+    "op5_suffixes": oracles.OP5,
+    "op8_recompression": oracles.OP8,
+    "op11_spelling": oracles.OP11,
+    "op12_collocations": oracles.OP12,
+    "op13_urls": oracles.OP13,
+}
