@@ -70,6 +70,7 @@ K_VALUES = [3, 4, 5, 6]
 KMEANS_STARTS = 10
 KMEANS_ITERATIONS = 300
 SEGMENT_SAMPLE = 2000
+SILHOUETTE_SAMPLE = 15_000
 SEGMENT_TOP_CATEGORIES = 10
 
 MIN_SUPPORT = 0.05

@@ -46,6 +46,11 @@ def percent_of(part: Column, total: Column, decimals: int = 2) -> Column:
     return F.round(share * F.lit(100.0), decimals)
 
 
+def num_rows(counted: str | None = None) -> Column:
+    """Aggregate: the rows, or the sum of ``counted`` where a row stands for several."""
+    return F.sum(counted) if counted else F.count(F.lit(1))
+
+
 def segment_label(frequency: Column, units: Column, diversity: Column) -> Column:
     """Descriptive label of a client or of a segment centroid; the first match wins."""
     return (

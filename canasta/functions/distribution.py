@@ -7,11 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canasta.functions.columns import num_rows
+
 QUARTILES = [0.25, 0.5, 0.75]
 
 
 def describe_counts(
-    df: DataFrame, value: str, keys: Sequence[str] = (), decimals: int | None = None
+    df: DataFrame,
+    value: str,
+    keys: Sequence[str] = (),
+    decimals: int | None = None,
+    frequency: str | None = None,
 ) -> DataFrame:
     """min, q1, median, q3, max, mean, std and count of a whole-number column.
 
@@ -20,13 +26,13 @@ def describe_counts(
     positive whole numbers is at least d(d+1)/2, so a group with U units has at
     most sqrt(2 U) distinct values: the last step stays small at any row count
     and for any hot group. Quantiles interpolate linearly and std has n-1 in the
-    denominator (null for a single value).
+    denominator (null for a single value). ``frequency`` names the number of values that a row stands for.
     """
     keys = list(keys)
     histogram = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_freq"))
+        .agg(num_rows(frequency).alias("_freq"))
     )
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     weighted = (F.col("_value") * F.col("_freq")).cast("double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canasta import fixed
+from canasta.functions.columns import num_rows
 from canasta.functions.distribution import describe_counts
 from canasta.functions.ranking import top_k
 from canasta.operators.enrich import names_are_unique, with_category_names
@@ -39,8 +40,9 @@ def _labelled(stats: DataFrame, label: str) -> DataFrame:
     return stats.select(F.lit(label).alias("label"), *stats.columns)
 
 
-def basket_size_stats(txns: DataFrame) -> DataFrame:
-    return _labelled(describe_counts(txns, "basket_size"), fixed.BASKET_SIZE_LABEL)
+def basket_size_stats(txns: DataFrame, frequency: str | None = None) -> DataFrame:
+    """Here and below ``frequency`` names the number of transactions of a row, where rows are counts already."""
+    return _labelled(describe_counts(txns, "basket_size", frequency=frequency), fixed.BASKET_SIZE_LABEL)
 
 
 def client_total_stats(txns: DataFrame) -> DataFrame:
@@ -67,9 +69,9 @@ def outlier_clients(txns: DataFrame, n: int = fixed.OUTLIER_TOP_N) -> DataFrame:
     )
 
 
-def category_basket_stats(units: DataFrame) -> DataFrame:
+def category_basket_stats(units: DataFrame, frequency: str | None = None) -> DataFrame:
     """Distribution of units per transaction for every category name."""
-    return describe_counts(units, "units", ["category_name"], decimals=4).orderBy(
+    return describe_counts(units, "units", ["category_name"], decimals=4, frequency=frequency).orderBy(
         F.desc("count"), "category_name"
     )
 
@@ -83,10 +85,10 @@ def most_frequent_categories(
 
 
 def basket_size_histogram(
-    txns: DataFrame, max_size: int | None = None
+    txns: DataFrame, max_size: int | None = None, frequency: str | None = None
 ) -> DataFrame:
     """Number of transactions per basket size; ``max_size`` None keeps every size."""
-    sizes = txns.groupBy("basket_size").agg(F.count(F.lit(1)).alias("frequency"))
+    sizes = txns.groupBy("basket_size").agg(num_rows(frequency).alias("frequency"))
     if max_size is not None:
         sizes = sizes.filter(F.col("basket_size") <= max_size)
     return sizes.orderBy("basket_size")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canasta import fixed
-from canasta.functions.columns import month_key, percent_of, weekday_index, weekday_label, weekday_name
+from canasta.functions.columns import month_key, num_rows, percent_of, weekday_index, weekday_label, weekday_name
 from canasta.functions.ranking import top_k
 from canasta.operators.enrich import name_categories
 
@@ -87,18 +87,21 @@ def categories_with_remainder(
     return top.unionByName(rest).orderBy("slice")
 
 
-def top_clients(txns: DataFrame, n: int = fixed.TOP_N) -> DataFrame:
-    """Clients with the most transactions, with their units."""
+def top_clients(txns: DataFrame, n: int = fixed.TOP_N, visits: str | None = None) -> DataFrame:
+    """Clients with the most transactions, with their units.
+
+    Here and below ``visits`` names the number of transactions of a row, where rows are sums already.
+    """
     clients = txns.groupBy("client_id").agg(
-        F.count(F.lit(1)).alias("num_transactions"), F.sum("basket_size").alias("total_units")
+        num_rows(visits).alias("num_transactions"), F.sum("basket_size").alias("total_units")
     )
     return top_k(clients, [F.desc("num_transactions"), F.asc("client_id")], n)
 
 
-def peak_days(txns: DataFrame, n: int = fixed.TOP_N) -> DataFrame:
+def peak_days(txns: DataFrame, n: int = fixed.TOP_N, visits: str | None = None) -> DataFrame:
     """Days with the most transactions."""
     days = txns.groupBy("date").agg(
-        F.count(F.lit(1)).alias("num_transactions"), F.sum("basket_size").alias("total_units")
+        num_rows(visits).alias("num_transactions"), F.sum("basket_size").alias("total_units")
     )
     best = top_k(days, [F.desc("num_transactions"), F.asc("date")], n)
     return best.select(
@@ -110,7 +113,7 @@ def peak_days(txns: DataFrame, n: int = fixed.TOP_N) -> DataFrame:
     )
 
 
-def sales_by_store(txns: DataFrame) -> DataFrame:
+def sales_by_store(txns: DataFrame, visits: str | None = None) -> DataFrame:
     """Units, transactions and clients per store, largest first.
 
     Grouping by (store, client) first makes the client count a plain count and
@@ -118,18 +121,18 @@ def sales_by_store(txns: DataFrame) -> DataFrame:
     """
     return (
         txns.groupBy("store_id", "client_id")
-        .agg(F.sum("basket_size").alias("units"), F.count(F.lit(1)).alias("visits"))
+        .agg(F.sum("basket_size").alias("units"), num_rows(visits).alias("_visits"))
         .groupBy("store_id")
         .agg(
             F.sum("units").alias("total_units"),
-            F.sum("visits").alias("num_transactions"),
+            F.sum("_visits").alias("num_transactions"),
             F.count("client_id").alias("num_clients"),
         )
         .orderBy(F.desc("total_units"), "store_id")
     )
 
 
-def weekly_heatmap(txns: DataFrame) -> DataFrame:
+def weekly_heatmap(txns: DataFrame, visits: str | None = None) -> DataFrame:
     """Transactions per month and weekday, zero-filled over observed months and weekdays.
 
     One grouping per month with a conditional count per weekday already holds the
@@ -137,7 +140,7 @@ def weekly_heatmap(txns: DataFrame) -> DataFrame:
     """
     day = weekday_index(F.col("date"))
     per_month = txns.groupBy(month_key(F.col("date")).alias("month")).agg(
-        *[F.count_if(day == i).alias(f"d{i}") for i in range(7)]
+        *[F.sum(F.when(day == i, F.col(visits) if visits else 1).otherwise(0)).alias(f"d{i}") for i in range(7)]
     )
     cells = per_month.select(
         "month",

@@ -65,10 +65,16 @@ def search_categories(
 
 
 def recommend_by_segment(
-    top_categories: DataFrame, index: DataFrame, n: int = fixed.RECOMMENDATIONS_PER_CLIENT
+    top_categories: DataFrame,
+    index: DataFrame,
+    n: int = fixed.RECOMMENDATIONS_PER_CLIENT,
+    per_category: int | None = None,
 ) -> DataFrame:
     """Suggestions per segment from the rules of its top categories.
 
+    ``index`` ranks the rules of every antecedent, best uncut; ``per_category`` looks at so many of each
+    category (the published lookup: ``fixed.INDEX_PER_CATEGORY``), None at all.
+
     Top categories are walked in rank order and their rules in rule order; a
     consequent is taken where it first appears, unless it is a top category
     itself. What remains is ordered by lift, ties in the order found.
@@ -77,6 +83,8 @@ def recommend_by_segment(
         "segment_id", F.col("category_name").alias("from_category"), F.col("rank").alias("_category_rank")
     )
     rules = drop_non_finite(index, ["lift", "confidence"]).withColumnRenamed("rank", "_rule_rank")
+    if per_category is not None:
+        rules = rules.filter(F.col("_rule_rank") <= per_category)
     found = top.join(rules, top.from_category == rules.antecedent)
     own = top.select("segment_id", F.col("from_category").alias("consequent"))
     fresh = found.join(own, ["segment_id", "consequent"], "left_anti")

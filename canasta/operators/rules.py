@@ -73,7 +73,13 @@ def category_support(
 ) -> DataFrame:
     """Baskets containing each category, for those that reach the support."""
     total = baskets.count() if n_baskets is None else n_baskets
-    frequent = _with_support(baskets, min_support, total)
+    return support_of_counts(category_counts(baskets), categories, min_support, total)
+
+
+def support_of_counts(counts: DataFrame, categories: DataFrame, min_support: float, n_baskets: int) -> DataFrame:
+    """The same from counts (category_id, count)."""
+    support = F.col("count").cast("double") / F.lit(float(n_baskets))
+    frequent = counts.withColumn("support", support).filter(F.col("support") >= min_support)
     return (
         name_categories(frequent, categories)
         .select("category_id", "category_name", "count", F.round("support", 4).alias("support"))
@@ -113,10 +119,7 @@ def pair_counts(baskets: DataFrame, frequent: Sequence[int]) -> DataFrame:
         .groupBy("x", "y")
         .agg(F.count(F.lit(1)).alias("num_baskets"))
     )
-    as_is = F.struct("x", "y")
-    swapped = F.struct(F.col("y").alias("x"), F.col("x").alias("y"))
-    orders = F.when(F.col("x") == F.col("y"), F.array(as_is)).otherwise(F.array(as_is, swapped))
-    return half.select(F.inline(orders), "num_baskets")
+    return mirrored(half)
 
 
 # ---- rules ------------------------------------------------------------------
@@ -141,6 +144,29 @@ def association_rules(
     """
     total = baskets.count() if n_baskets is None else n_baskets
     pairs = pair_counts(baskets, frequent_categories(baskets, min_support, total))
+    return rules_of_counts(pairs, categories, total, min_support, min_confidence, min_lift)
+
+
+def mirrored(half: DataFrame) -> DataFrame:
+    """Counts (x, y, num_baskets) of unordered pairs, for both orders."""
+    as_is = F.struct("x", "y")
+    swapped = F.struct(F.col("y").alias("x"), F.col("x").alias("y"))
+    orders = F.when(F.col("x") == F.col("y"), F.array(as_is)).otherwise(F.array(as_is, swapped))
+    return half.select(F.inline(orders), "num_baskets")
+
+
+def rules_of_counts(
+    pairs: DataFrame,
+    categories: DataFrame,
+    total: int,
+    min_support: float = fixed.MIN_SUPPORT,
+    min_confidence: float = fixed.MIN_CONFIDENCE,
+    min_lift: float = fixed.MIN_LIFT,
+) -> DataFrame:
+    """The rules that pass the thresholds, from the counts of all ordered pairs, (x, x) included, of frequent categories.
+
+    Pairs of other categories may be there too: no rule of theirs reaches the support.
+    """
     # The (x, x) row of the pair table holds the count of x itself.
     own_count = F.when(F.col("x") == F.col("y"), F.col("num_baskets"))
     n = F.lit(float(total))
@@ -189,8 +215,11 @@ def top_rules(rules: DataFrame, n: int = fixed.MAX_RULES) -> DataFrame:
     return top_k(rules, _rule_order(), n)
 
 
-def category_index(rules: DataFrame, n: int = fixed.INDEX_PER_CATEGORY) -> DataFrame:
-    """The best ``n`` suggestions of every antecedent, in rule order."""
+def category_index(rules: DataFrame, n: int | None = fixed.INDEX_PER_CATEGORY) -> DataFrame:
+    """The best ``n`` suggestions of every antecedent, in rule order; all of them with None."""
+    if n is None:
+        order = Window.partitionBy("antecedent").orderBy(*_rule_order())
+        return rules.select(*RULE_COLUMNS).withColumn("rank", F.row_number().over(order))
     return top_k_per_group(rules, ["antecedent"], _rule_order(), n).select(*RULE_COLUMNS, "rank")
 
 
@@ -220,7 +249,14 @@ def rule_metadata(
 ) -> DataFrame:
     """One row: baskets, categories, thresholds and the number of rules."""
     total = baskets.count() if n_baskets is None else n_baskets
-    category_count = category_counts(baskets).select(F.count(F.lit(1)).alias("n")).scalar()
+    return metadata_of_counts(category_counts(baskets), rules, total, min_support, min_confidence, min_lift)
+
+
+def metadata_of_counts(
+    counts: DataFrame, rules: DataFrame, total: int, min_support: float, min_confidence: float, min_lift: float
+) -> DataFrame:
+    """The same from counts (category_id, count)."""
+    category_count = counts.select(F.count(F.lit(1)).alias("n")).scalar()
     return rules.agg(F.count(F.lit(1)).alias("total_rules")).select(
         F.lit(total).cast("bigint").alias("n_transactions"),
         category_count.alias("n_categories"),

@@ -7,30 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canasta.functions.columns import month_key, week_start
+from canasta.functions.columns import month_key, num_rows, week_start
 
 
-def _series(txns: DataFrame, *keys: Column) -> DataFrame:
-    """Both metrics from one grouping; hot days or stores shrink map-side."""
+def _series(txns: DataFrame, visits: str | None, *keys: Column) -> DataFrame:
+    """Both metrics from one grouping; hot days or stores shrink map-side.
+
+    Here and below ``visits`` names the number of transactions of a row, where rows are sums already.
+    """
     return txns.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("num_transactions"), F.sum("basket_size").alias("total_units")
+        num_rows(visits).alias("num_transactions"), F.sum("basket_size").alias("total_units")
     )
 
 
-def daily(txns: DataFrame) -> DataFrame:
-    return _series(txns, F.col("date")).orderBy("date")
+def daily(txns: DataFrame, visits: str | None = None) -> DataFrame:
+    return _series(txns, visits, F.col("date")).orderBy("date")
 
 
-def weekly(txns: DataFrame) -> DataFrame:
-    return _series(txns, week_start(F.col("date")).alias("week_start")).orderBy("week_start")
+def weekly(txns: DataFrame, visits: str | None = None) -> DataFrame:
+    return _series(txns, visits, week_start(F.col("date")).alias("week_start")).orderBy("week_start")
 
 
-def monthly(txns: DataFrame) -> DataFrame:
-    return _series(txns, month_key(F.col("date")).alias("month")).orderBy("month")
+def monthly(txns: DataFrame, visits: str | None = None) -> DataFrame:
+    return _series(txns, visits, month_key(F.col("date")).alias("month")).orderBy("month")
 
 
-def store_daily(txns: DataFrame) -> DataFrame:
-    return _series(txns, F.col("date"), F.col("store_id")).orderBy("store_id", "date")
+def store_daily(txns: DataFrame, visits: str | None = None) -> DataFrame:
+    return _series(txns, visits, F.col("date"), F.col("store_id")).orderBy("store_id", "date")
 
 
 def store_columns(txns: DataFrame, stores: Sequence[int] | None = None) -> DataFrame:

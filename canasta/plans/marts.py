@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from canasta import fixed
 from canasta.operators import (
@@ -17,7 +23,7 @@ from canasta.operators import (
 )
 from canasta.operators.grain import client_items, unnest
 from canasta.session import materialize, run_folder, tune
-from canasta.sources.marts import append_run, write_mart
+from canasta.sources.marts import read_mart, record_run, write_mart
 
 Marts = dict[str, DataFrame]
 
@@ -74,6 +80,9 @@ def clustering(
             "segment_id"
         ),
         "segment_stats": seg.segment_stats(features, mapping),
+        "sampled_silhouette": seg.mean_silhouette(
+            seg.silhouettes(features, mapping, within_sample=True)
+        ),
         "client_sample": seg.segment_sample(segmentation.clients),
     }
 
@@ -144,10 +153,11 @@ def refresh(
     Small marts leave most of a cluster idle, so a few are written at a time.
     """
     tune(spark)
-    with run_folder(spark, scratch):
+    with recorded_run(spark, out_dir) as run, run_folder(spark, scratch):
         _refresh(
             spark, baskets, categories, out_dir, fmt, thresholds, parallel_writes, n_init, max_iter
         )
+        run.totals = read_totals(spark, out_dir, fmt)
 
 
 def _refresh(
@@ -160,38 +170,60 @@ def _refresh(
     features = materialize(feats.client_features(txns, client_categories), "client-features")
     segmentation = seg.fit_segments(features, n_init=n_init, max_iter=max_iter)
     try:
-        _write_documents(
-            spark, baskets, txns, lines, categories, client_categories, features, segmentation,
-            out_dir, fmt, thresholds, parallel_writes,
-        )
+        mapping = materialize(segmentation.mapping(), "segments")
+        documents = {
+            "executive_summary": executive_summary(lines, categories, txns),
+            "time_series": time_series(txns),
+            "boxplot_data": boxplot_data(
+                distributions.category_units_of_baskets(baskets, categories), txns
+            ),
+            "heatmap_data": heatmap_data(spark, features),
+            "clustering": clustering(spark, segmentation, features),
+            "client_segments": client_segments(
+                spark, segmentation, client_categories, categories, mapping
+            ),
+            "recommendations": recommendations(baskets, categories, *thresholds),
+        }
+        write_documents(documents, out_dir, fmt, parallel_writes)
     finally:
         segmentation.release()
 
 
-def _write_documents(
-    spark, baskets, txns, lines, categories, client_categories, features, segmentation,
-    out_dir, fmt, thresholds, parallel_writes,
-) -> None:
-    mapping = materialize(segmentation.mapping(), "segments")
-
-    documents = {
-        "executive_summary": executive_summary(lines, categories, txns),
-        "time_series": time_series(txns),
-        "boxplot_data": boxplot_data(
-            distributions.category_units_of_baskets(baskets, categories), txns
-        ),
-        "heatmap_data": heatmap_data(spark, features),
-        "clustering": clustering(spark, segmentation, features),
-        "client_segments": client_segments(
-            spark, segmentation, client_categories, categories, mapping
-        ),
-        "recommendations": recommendations(baskets, categories, *thresholds),
-    }
+def write_documents(
+    documents: dict[str, Marts], out_dir: str, fmt: str = "parquet", parallel_writes: int = 4
+) -> None:
+    """Writes all marts of all documents, each with the time it was made, a few at a time."""
+    spark = next(iter(next(iter(documents.values())).values())).sparkSession
+    made = spark.range(1).select(F.lit(datetime.now()).alias("generated_at"))
     marts = [
         (df, f"{out_dir.rstrip('/')}/{document}/{name}")
         for document, parts in documents.items()
-        for name, df in parts.items()
+        for name, df in {**parts, "generated_at": made}.items()
     ]
     with ThreadPoolExecutor(parallel_writes) as pool:
         list(pool.map(lambda mart: write_mart(*mart, fmt), marts))
-    append_run(documents["executive_summary"]["kpis"], f"{out_dir.rstrip('/')}/runs")
+
+
+def read_totals(spark: SparkSession, out_dir: str, fmt: str = "parquet") -> dict:
+    """The KPI row as last written, for the run's record."""
+    return read_mart(spark, f"{out_dir.rstrip('/')}/executive_summary", "kpis", fmt).first().asDict()
+
+
+@dataclass
+class Run:
+    """A run in progress; ``totals`` are set once the marts are written."""
+
+    run_id: str
+    totals: dict | None = None
+
+
+@contextmanager
+def recorded_run(spark: SparkSession, out_dir: str, run_id: str | None = None) -> Iterator[Run]:
+    """Records how the run inside ends, with its duration and totals, or with its error, which is passed on."""
+    run, path, started = Run(run_id or uuid.uuid4().hex), f"{out_dir.rstrip('/')}/runs", datetime.now()
+    try:
+        yield run
+    except Exception as error:
+        record_run(spark, path, run.run_id, started, error=f"{type(error).__name__}: {error}")
+        raise
+    record_run(spark, path, run.run_id, started, totals=run.totals)

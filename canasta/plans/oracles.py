@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from canasta import fixed
-from canasta.plans.queries import CONFIDENCE, LIFT, SUPPORT
+from canasta.plans.queries import CONFIDENCE, FINE_CATEGORIES, FINE_SUPPORT, LIFT, SUPPORT
 
 _FACT = r"""
 lines AS (
@@ -75,7 +75,7 @@ seg_top AS (
 found AS (
   SELECT t.segment_id, t.category_name AS from_category, t.category_rank, i.*
   FROM seg_top t JOIN idx i ON i.antecedent = t.category_name
-  WHERE i.rank <= 15 AND NOT EXISTS (
+  WHERE i.rank <= CUT AND NOT EXISTS (
     SELECT 1 FROM seg_top o WHERE o.segment_id = t.segment_id AND o.category_name = i.consequent)),
 first_seen AS (
   SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY segment_id, consequent
@@ -86,6 +86,9 @@ seg_rec AS (
          consequent AS recommendation, confidence, lift, support
   FROM first_seen)"""
 
+#: All rules of a category; and the lookup that is cut to a category's first four.
+_SEGMENT_RULES, _SHORT_SEGMENT_RULES = (_SEGMENT_RULES.replace("CUT", n) for n in ("1000000", "4"))
+
 _TEXT = r"""
 raw AS (
   SELECT row_number() OVER () AS transaction_id, strftime(o_orderdate, '%Y-%m-%d') AS date,
@@ -110,6 +113,7 @@ SELECT CAST(sum(quantity) AS BIGINT) AS total_units,
        count(DISTINCT store_id) AS total_stores,
        strftime(min(date), '%Y-%m-%d') AS date_start, strftime(max(date), '%Y-%m-%d') AS date_end
 FROM lines"""
+_KPI_ROW = f" kpi AS ({_KPIS})"
 
 _UNITS = """
 units AS (
@@ -277,7 +281,7 @@ ORACLES: dict[str, str] = {
     "text_transactions": _TEXT_VISITS,
     "text_transactions_by_position": _TEXT_VISITS,
     "text_baskets": _TEXT_VISITS,
-    "text_load_report": "SELECT count(*) AS num_rows FROM lineitem",
+    "text_load_report": f"WITH {_TEXT} SELECT store_id, count(*) AS num_rows FROM raw GROUP BY store_id",
     "text_load_summary": f"""WITH {_TEXT}
         SELECT count(*) AS total_units, count(DISTINCT transaction_id) AS total_transactions,
                count(DISTINCT client_id) AS total_clients,
@@ -556,7 +560,7 @@ ORACLES: dict[str, str] = {
         _FACT, _RULES, _SEGMENT_RULES, " SELECT * FROM seg_rec WHERE rank <= 20"
     ),
     "recommend_by_segment_short": _with(
-        _FACT, _RULES, _SEGMENT_RULES, " SELECT * FROM seg_rec WHERE rank <= 5"
+        _FACT, _RULES, _SHORT_SEGMENT_RULES, " SELECT * FROM seg_rec WHERE rank <= 5"
     ),
     "recommend_for_clients": _with(
         _FACT,
@@ -583,9 +587,9 @@ ORACLES: dict[str, str] = {
     "incremental_ingest": _TEXT_VISITS,
     "latest_run": _with(
         _FACT,
-        """ SELECT '2024-01-03' AS run_day, CAST(sum(quantity) AS BIGINT) AS total_units,
-        count(DISTINCT transaction_id) AS total_transactions,
-        count(DISTINCT client_id) AS total_clients FROM lines""",
+        _KPI_ROW,
+        """ SELECT 'run-3' AS run_id, '2024-01-03' AS run_day, 3.0::DOUBLE AS duration_sec, 'completed' AS status,
+        CAST(NULL AS VARCHAR) AS error, * FROM kpi""",
     ),
     "fpgrowth_suggestions": _with(
         _FACT,
@@ -599,14 +603,40 @@ ORACLES: dict[str, str] = {
     ),
     "run_history": _with(
         _FACT,
-        """ SELECT CAST(rank AS INTEGER) AS rank, run_day, CAST(sum(quantity) AS BIGINT) AS total_units,
-        count(DISTINCT transaction_id) AS total_transactions,
-        count(DISTINCT client_id) AS total_clients
-        FROM lines, (VALUES (1, '2024-01-03'), (2, '2024-01-02')) AS r(rank, run_day)
-        GROUP BY rank, run_day""",
+        _KPI_ROW,
+        """ SELECT 1 AS rank, 'run-3' AS run_id, '2024-01-03' AS run_day, 3.0::DOUBLE AS duration_sec,
+        'completed' AS status, CAST(NULL AS VARCHAR) AS error, * FROM kpi
+        UNION ALL SELECT 2, 'run-2', '2024-01-02', 2.0, 'failed', 'no input', NULL, NULL, NULL, NULL, NULL, NULL, NULL
+        FROM kpi""",
     ),
 }
 
+_BY_SIZE = """
+by_size AS (
+  SELECT segment_id, CAST(row_number() OVER (ORDER BY count(*) DESC, segment_id) - 1 AS INTEGER) AS new_id
+  FROM members GROUP BY segment_id)"""
+
+#: Distances between the standard scores of all members.
+_SCORES = f"""
+scores AS (
+  SELECT client_id, segment_id, {", ".join(f"(CAST({f} AS DOUBLE) - avg({f}) OVER ()) / nullif(stddev_samp({f}) OVER (), 0) AS {f}" for f in fixed.SEGMENT_FEATURES)}
+  FROM members),
+pairs AS (
+  SELECT a.client_id, a.segment_id AS own, b.segment_id AS other,
+         sqrt({" + ".join(f"power(coalesce(a.{f} - b.{f}, 0), 2)" for f in fixed.SEGMENT_FEATURES)}) AS d
+  FROM scores a, scores b)"""
+
+_SILHOUETTES = """
+sides AS (
+  SELECT client_id, own, max(n) FILTER (own = other) AS n,
+         max(total / greatest(n - 1, 1)) FILTER (own = other) AS inner_d,
+         min(total / n) FILTER (own <> other) AS outer_d
+  FROM far GROUP BY client_id, own),
+silhouettes AS (
+  SELECT client_id, own, CASE WHEN n > 1 AND greatest(inner_d, outer_d) > 0
+         THEN (outer_d - inner_d) / greatest(inner_d, outer_d) ELSE 0 END AS silhouette
+  FROM sides)"""
+
 _MD5 = f"md5('{fixed.SEED}-' || CAST({{}} AS VARCHAR))"
 
 ORACLES |= {
@@ -615,12 +645,83 @@ ORACLES |= {
     "mart_boxplot_data": ORACLES["basket_size_histogram"],
     "mart_heatmap_data": ORACLES["feature_correlation"],
     "mart_recommendations": ORACLES["association_rules"],
-    "mart_clustering": _with(_FACT, " SELECT count(DISTINCT client_id) AS total_clients FROM lines"),
-    "mart_client_segments": _with(_FACT, " SELECT DISTINCT client_id FROM lines"),
+    "mart_clustering": _with(
+        _FACT,
+        _FEATURES,
+        _SUMMARY,
+        _BY_SIZE,
+        """ SELECT s.* REPLACE (new_id AS segment_id) FROM summary s JOIN by_size USING (segment_id)""",
+    ),
+    "mart_segment_stats": _with(
+        _FACT,
+        _FEATURES,
+        _BY_SIZE,
+        f" stats AS ({_segment_stats()})",
+        " SELECT stats.* REPLACE (new_id AS segment_id) FROM stats JOIN by_size USING (segment_id)",
+    ),
+    "mart_segment_summary": _with(
+        _FACT,
+        _FEATURES,
+        _SCORES,
+        " far AS (SELECT client_id, own, other, sum(d * d) AS total, count(*) AS n FROM pairs GROUP BY ALL)",
+        _SILHOUETTES,
+        """ SELECT CAST(count(DISTINCT own) AS INTEGER) AS k, round(avg(silhouette), 4) AS silhouette,
+        count(*) AS total_clients FROM silhouettes""",
+    ),
+    "given_segment_silhouette": _with(
+        _FACT,
+        _FEATURES,
+        _SCORES,
+        " far AS (SELECT client_id, own, other, sum(d) AS total, count(*) AS n FROM pairs GROUP BY ALL)",
+        _SILHOUETTES,
+        """ SELECT own AS segment_id, count(*) AS num_clients, round(avg(silhouette), 4) AS silhouette
+        FROM silhouettes GROUP BY own""",
+    ),
+    "mart_client_segments": _with(
+        _FACT, _FEATURES, _BY_SIZE,
+        " SELECT client_id, new_id AS segment_id FROM members JOIN by_size USING (segment_id)",
+    ),
+    "mart_client_segment_labels": _with(
+        _FACT, _FEATURES, _SUMMARY, _BY_SIZE,
+        " SELECT new_id AS segment_id, label FROM summary JOIN by_size USING (segment_id)",
+    ),
+    "mart_client_segment_categories": _with(
+        _FACT, _FEATURES, _BY_SIZE,
+        """ SELECT new_id AS segment_id, category_name, count(DISTINCT client_id) AS num_clients,
+        CAST(row_number() OVER (PARTITION BY new_id ORDER BY count(DISTINCT client_id) DESC,
+             category_name) AS INTEGER) AS rank
+        FROM fact JOIN segments USING (client_id) JOIN by_size USING (segment_id)
+        GROUP BY new_id, category_name QUALIFY rank <= 10""",
+    ),
+    "incremental_kpis": ORACLES["overall_kpis"],
+    "incremental_sales_by_store": ORACLES["sales_by_store"],
+    "incremental_heatmap": ORACLES["weekly_heatmap"],
+    "incremental_store_daily": ORACLES["store_daily_series"],
+    "incremental_category_stats": ORACLES["category_basket_stats"],
+    "incremental_client_features": ORACLES["client_features"],
+    "incremental_segment_categories": ORACLES["given_segment_top_categories"],
+    "incremental_rules": ORACLES["association_rules"],
+    "strong_rule_lift_bands": f"""
+        WITH items AS (
+          SELECT DISTINCT l_orderkey AS t, CAST(l_partkey % {FINE_CATEGORIES} AS INTEGER) AS category FROM lineitem),
+        n AS (SELECT CAST(count(DISTINCT t) AS DOUBLE) AS n FROM items),
+        own AS (SELECT category, count(*) AS cnt FROM items GROUP BY category),
+        pairs AS (
+          SELECT a.category AS x, b.category AS y, count(*) AS together
+          FROM items a JOIN items b USING (t) WHERE a.category <> b.category GROUP BY 1, 2),
+        rules AS (
+          SELECT x AS antecedent_id, y AS consequent_id,
+                 (together / n) / ((cx.cnt / n) * (cy.cnt / n)) AS lift
+          FROM pairs JOIN own cx ON cx.category = x JOIN own cy ON cy.category = y, n
+          WHERE together / n >= {FINE_SUPPORT}e0)
+        SELECT antecedent_id, consequent_id,
+               CASE WHEN round(lift, 4) >= 3 THEN '>=3' WHEN round(lift, 4) >= 2 THEN '>=2'
+               WHEN round(lift, 4) >= 1.5 THEN '>=1.5' ELSE '<1.5' END AS band
+        FROM rules WHERE lift >= {LIFT}e0""",
     "segment_invariants": _with(
         _FACT,
         """ SELECT count(DISTINCT client_id) AS num_clients, CAST(0 AS BIGINT) AS mismatches,
-        1 AS sizes_in_order, 1 AS best_chosen FROM lines""",
+        1 AS sizes_in_order, 1 AS centers_are_means, 1 AS best_chosen FROM lines""",
     ),
     "feature_client_sample": _with(
         _FACT,

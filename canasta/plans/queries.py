@@ -24,16 +24,18 @@ from canasta.operators import (
     timeseries,
 )
 from canasta.operators.enrich import with_category_names
-from canasta.plans import marts as documents
+from canasta.plans import incremental, marts as documents
 from canasta.session import materialize, scratch_path, tune
 from canasta.sources import marts, star, text
-from canasta.streaming import ingest
+from canasta.streaming import ingest, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The 25 categories of the test tables are bought evenly: their rules are weak, so
 #: the rule queries use lower thresholds than the library's defaults.
 SUPPORT, CONFIDENCE, LIFT = 0.02, 0.14, 1.0
+#: Categories of the queries on fine categories, and their support.
+FINE_CATEGORIES, FINE_SUPPORT = 449, 0.0003
 
 _QUERIES: dict[str, Query] = {}
 
@@ -100,6 +102,20 @@ def _baskets(spark, sf_dir):
     return materialize(grain.baskets(star.lines(spark, sf_dir)), "baskets")
 
 
+def _fine_baskets(spark, sf_dir):
+    """Baskets over as many categories as the published catalogue has: those of a part's number."""
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = item.select(
+        F.col("l_orderkey").alias("transaction_id"),
+        F.lit(1).alias("client_id"),
+        F.lit(1).alias("store_id"),
+        F.lit(None).cast("date").alias("date"),
+        F.pmod("l_partkey", F.lit(FINE_CATEGORIES)).cast("int").alias("category_id"),
+        F.lit(1).cast("bigint").alias("quantity"),
+    )
+    return grain.baskets(lines)
+
+
 def _rules(spark, sf_dir):
     return _mined(_baskets(spark, sf_dir), star.categories(spark, sf_dir))
 
@@ -112,15 +128,15 @@ def _index(spark, sf_dir, n=15):
     return rules.category_index(_rules(spark, sf_dir), n)
 
 
-def _segment_recommendations(spark, sf_dir, n=20):
+def _segment_recommendations(spark, sf_dir, n=20, per_category=None):
     baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
     top = seg.segment_top_categories(
         grain.client_items(grain.unnest(baskets)),
         categories,
         star.market_segments(spark, sf_dir),
     )
-    index = rules.category_index(_mined(baskets, categories))
-    return recommend.recommend_by_segment(top, index, n)
+    index = rules.category_index(_mined(baskets, categories), None)
+    return recommend.recommend_by_segment(top, index, n, per_category)
 
 
 def _segmentation(spark, sf_dir):
@@ -133,16 +149,45 @@ def _segmentation(spark, sf_dir):
     return fitted
 
 
+def _given(spark, sf_dir):
+    """Client features, and the segmentation that the customers' market segments make."""
+    features = materialize(_features(spark, sf_dir), "features")
+    return features, seg.of_mapping(features, star.market_segments(spark, sf_dir))
+
+
+def _state(spark, sf_dir):
+    """State of three batches of baskets: one is repeated before and one after a snapshot is made."""
+    baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
+    path = scratch_path(spark, "state")
+    part = lambda i: baskets.where(F.pmod(F.xxhash64("transaction_id"), F.lit(3)) == i)
+    for batch in (0, 1, 1):
+        state.add_batch(part(batch), categories, path, batch)
+    state.compact(spark, path)
+    for batch in (1, 2, 2):
+        state.add_batch(part(batch), categories, path, batch)
+    return state.read_states(spark, path)
+
+
 def _text_directory(spark, sf_dir):
     directory = scratch_path(spark, "text")
     star.text_rows(spark, sf_dir).write.option("sep", "|").csv(f"{directory}/all_Tran.csv")
     return directory
 
 
+def _store_files(spark, sf_dir, directory):
+    """The raw lines as files of one store each, named by it."""
+    parts = scratch_path(spark, "stores")
+    rows = star.text_rows(spark, sf_dir).withColumn("store", F.col("store_id"))
+    rows.write.option("sep", "|").partitionBy("store").csv(parts)
+    for store in {r["store_id"] for r in rows.select("store_id").distinct().collect()}:
+        _named_as_transactions(spark, f"{parts}/store={store}", directory)
+
+
 def _named_as_transactions(spark, source, target):
     """Moves Spark's part files to the names that the ingest takes."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     store = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path(target))
     for i, file in enumerate(store.globStatus(path(f"{source}/part-*"))):
         store.rename(file.getPath(), path(f"{target}/{source.rpartition('/')[2]}-{i}_Tran.csv"))
 
@@ -209,13 +254,20 @@ def text_baskets(spark, sf_dir):
 
 @_query
 def text_load_report(spark, sf_dir):
-    raw = text.read_raw_transactions(spark, _text_directory(spark, sf_dir))
-    return text.rows_per_file(raw).agg(F.sum("num_rows").alias("num_rows"))
+    """Rows per file, the files of a store together."""
+    directory = scratch_path(spark, "text")
+    _store_files(spark, sf_dir, directory)
+    files = text.rows_per_file(text.read_raw_transactions(spark, directory))
+    store = F.regexp_extract("file_name", r"store=(\d+)-\d+_Tran", 1).cast("int")
+    return files.groupBy(store.alias("store_id")).agg(F.sum("num_rows").alias("num_rows"))
 
 
 @_query
 def text_load_summary(spark, sf_dir):
-    lines = text.read_transactions(spark, _text_directory(spark, sf_dir))
+    data = scratch_path(spark, "data")
+    _store_files(spark, sf_dir, f"{data}/Transactions")
+    star.categories(spark, sf_dir).write.option("sep", "|").csv(f"{data}/Products/Categories.csv")
+    lines, _ = text.load_all(spark, data)
     return kpis.kpis(lines, grain.transactions(lines))
 
 
@@ -536,12 +588,15 @@ def segment_invariants(spark, sf_dir):
 
     far = F.array(*[distance(c) for c in fitted.centers])
     mismatch = F.get(far, F.col("segment_id")) > F.array_min(far) + 1e-6
+    means = clients.groupBy("segment_id").agg(*[F.avg(x) for x in names]).collect()
+    far_off = max(abs(m - v) / (spread[x] or 1.0) for r in means for x, m, v in zip(names, r[1:], fitted.centers[r[0]], strict=True))
     sizes = [r["count"] for r in clients.groupBy("segment_id").count().orderBy("segment_id").collect()]
     return clients.agg(
         F.count(F.lit(1)).alias("num_clients"),
         F.sum(mismatch.cast("int")).alias("mismatches"),
         F.lit(sizes == sorted(sizes, reverse=True)).cast("int").alias("sizes_in_order"),
-        F.lit(fitted.silhouette == max(s for _, _, s in fitted.sweep)).cast("int").alias("best_chosen"),
+        F.lit(far_off < 1e-5).cast("int").alias("centers_are_means"),
+        F.lit(fitted.silhouette == max(s for _, _, s in fitted.sweep if s is not None)).cast("int").alias("best_chosen"),
     )
 
 
@@ -565,6 +620,14 @@ def given_segment_stats(spark, sf_dir):
     return seg.segment_stats(_features(spark, sf_dir), star.market_segments(spark, sf_dir))
 
 
+@_query
+def given_segment_silhouette(spark, sf_dir):
+    scores = seg.silhouettes(_features(spark, sf_dir), star.market_segments(spark, sf_dir))
+    return scores.groupBy("segment_id").agg(
+        F.count(F.lit(1)).alias("num_clients"), F.round(F.avg("silhouette"), 4).alias("silhouette")
+    )
+
+
 @_query
 def given_segments_by_size(spark, sf_dir):
     return seg.renumber_segments(star.market_segments(spark, sf_dir))
@@ -646,6 +709,14 @@ def top_rules(spark, sf_dir):
     return rules.top_rules(_rules(spark, sf_dir), 50)
 
 
+@_query
+def strong_rule_lift_bands(spark, sf_dir):
+    """Rules between several hundred fine categories, whose rare pairs have high lifts."""
+    baskets = materialize(_fine_baskets(spark, sf_dir).select("transaction_id", "items"), "fine")
+    mined = rules.association_rules(baskets, star.categories(spark, sf_dir), FINE_SUPPORT, 0.0, LIFT)
+    return mined.select("antecedent_id", "consequent_id", c.lift_band(F.col("lift")).alias("band"))
+
+
 @_query
 def rule_lift_bands(spark, sf_dir):
     return _rules(spark, sf_dir).select(
@@ -740,7 +811,7 @@ def recommend_by_segment(spark, sf_dir):
 
 @_query
 def recommend_by_segment_short(spark, sf_dir):
-    return _segment_recommendations(spark, sf_dir, 5)
+    return _segment_recommendations(spark, sf_dir, 5, per_category=4)
 
 
 @_query
@@ -764,7 +835,7 @@ def client_answer(spark, sf_dir):
     top = materialize(
         seg.segment_top_categories(grain.client_items(grain.unnest(baskets)), categories, segments), "top"
     )
-    index = rules.category_index(_mined(baskets, categories))
+    index = rules.category_index(_mined(baskets, categories), None)
     labels = seg.segment_summary(_features(spark, sf_dir), segments).select("segment_id", "label")
     answer = recommend.client_answer(
         segments, labels, top, recommend.recommend_by_segment(top, index), client_id=7
@@ -827,22 +898,56 @@ def mart_heatmap_data(spark, sf_dir):
 
 @_query
 def mart_clustering(spark, sf_dir):
-    features = materialize(_features(spark, sf_dir), "features")
-    fitted = seg.fit_segments(features)
+    features, fitted = _given(spark, sf_dir)
     try:
         document = documents.clustering(spark, fitted, features)
-        return _stored(spark, document, "summary", "json").select("total_clients")
+        return _stored(spark, document, "segments", "json")
+    finally:
+        fitted.release()
+
+
+@_query
+def mart_segment_stats(spark, sf_dir):
+    features, fitted = _given(spark, sf_dir)
+    try:
+        return _stored(spark, documents.clustering(spark, fitted, features), "segment_stats", "json")
+    finally:
+        fitted.release()
+
+
+@_query
+def mart_segment_summary(spark, sf_dir):
+    features, fitted = _given(spark, sf_dir)
+    try:
+        return _stored(spark, documents.clustering(spark, fitted, features), "summary")
     finally:
         fitted.release()
 
 
 @_query
 def mart_client_segments(spark, sf_dir):
+    return _client_segments(spark, sf_dir, "mapping")
+
+
+@_query
+def mart_client_segment_categories(spark, sf_dir):
+    return _client_segments(spark, sf_dir, "top_categories")
+
+
+@_query
+def mart_client_segment_labels(spark, sf_dir):
+    return _client_segments(spark, sf_dir, "labels")
+
+
+def _client_segments(spark, sf_dir, name):
     baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
-    fitted = _segmentation(spark, sf_dir)
-    bought = grain.client_items(grain.unnest(baskets))
-    document = documents.client_segments(spark, fitted, bought, categories, fitted.mapping())
-    return _stored(spark, document, "mapping").select("client_id")
+    _, fitted = _given(spark, sf_dir)
+    try:
+        bought = grain.client_items(grain.unnest(baskets))
+        document = documents.client_segments(spark, fitted, bought, categories, fitted.mapping())
+        return _stored(spark, document, name)
+    finally:
+        fitted.release()
 
 
 @_query
@@ -875,18 +980,69 @@ def incremental_ingest(spark, sf_dir):
     return _units_by_visit(grain.unnest(ingest.read_ingested(spark, table)))
 
 
+@_query
+def incremental_kpis(spark, sf_dir):
+    return incremental.overall(_state(spark, sf_dir))
+
+
+@_query
+def incremental_sales_by_store(spark, sf_dir):
+    return incremental.executive_summary(_state(spark, sf_dir), star.categories(spark, sf_dir))["sales_by_store"]
+
+
+@_query
+def incremental_heatmap(spark, sf_dir):
+    return incremental.executive_summary(_state(spark, sf_dir), star.categories(spark, sf_dir))["weekly_heatmap"]
+
+
+@_query
+def incremental_store_daily(spark, sf_dir):
+    return incremental.time_series(_state(spark, sf_dir))["by_store_daily"]
+
+
+@_query
+def incremental_category_stats(spark, sf_dir):
+    return incremental.boxplot_data(_state(spark, sf_dir))["category_basket_stats"]
+
+
+@_query
+def incremental_client_features(spark, sf_dir):
+    table = incremental.client_features(_state(spark, sf_dir))
+    return table.withColumns(
+        {x: F.round(x, 4) for x in ("avg_basket_size", "avg_categories_per_txn")}
+    )
+
+
+@_query
+def incremental_segment_categories(spark, sf_dir):
+    return seg.segment_top_categories(
+        incremental.client_categories(_state(spark, sf_dir)),
+        star.categories(spark, sf_dir),
+        star.market_segments(spark, sf_dir),
+    )
+
+
+@_query
+def incremental_rules(spark, sf_dir):
+    document = incremental.recommendations(
+        _state(spark, sf_dir), star.categories(spark, sf_dir), SUPPORT, CONFIDENCE, LIFT
+    )
+    return document["rules"]
+
+
 def _three_runs(spark, sf_dir):
+    """Three runs, of which one is recorded twice and one failed."""
     path = scratch_path(spark, "runs")
-    totals = materialize(_kpis(spark, sf_dir), "totals")
-    for day in (1, 2, 3):
-        marts.append_run(totals, path, datetime(2024, 1, day, 12))
-    return spark.read.parquet(path)
+    totals = _kpis(spark, sf_dir).first().asDict()
+    for day in (1, 2, 3, 3):
+        start, end = datetime(2024, 1, day, 12), datetime(2024, 1, day, 12, 0, day)
+        failed = "no input" if day == 2 else None
+        marts.record_run(spark, path, f"run-{day}", start, None if failed else totals, failed, end)
+    return marts.read_runs(spark, path)
 
 
 def _run_columns(runs):
-    return runs.withColumn("run_day", F.date_format("run_at", "yyyy-MM-dd")).drop(
-        "run_at", "total_categories", "total_stores", "date_start", "date_end"
-    )
+    return runs.withColumn("run_day", F.date_format("run_at", "yyyy-MM-dd")).drop("run_at", "finished_at")
 
 
 @_query

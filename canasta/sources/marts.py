@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
@@ -77,11 +77,44 @@ def read_fact(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- run totals -------------------------------------------------------------
 
-
-def append_run(totals: DataFrame, path: str, run_at: datetime | None = None) -> None:
-    """Adds the totals of a run, stamped with its time, to the run table."""
-    stamp = F.lit(run_at) if run_at else F.current_timestamp()
-    totals.withColumn("run_at", stamp).write.mode("append").parquet(path)
+#: A run's record. Totals are null if it failed.
+RUN_SCHEMA = (
+    "run_at TIMESTAMP, finished_at TIMESTAMP, duration_sec DOUBLE, status STRING, error STRING, "
+    "total_units BIGINT, total_transactions BIGINT, total_clients BIGINT, total_categories BIGINT, "
+    "total_stores BIGINT, date_start STRING, date_end STRING"
+)
+DONE, FAILED = "completed", "failed"
+
+
+def record_run(
+    spark: SparkSession,
+    path: str,
+    run_id: str,
+    started: datetime,
+    totals: Mapping | None = None,
+    error: str | None = None,
+    finished: datetime | None = None,
+) -> None:
+    """Writes the record of one run; recording the same run again replaces it."""
+    finished = finished or datetime.now()
+    row = {
+        "run_at": started,
+        "finished_at": finished,
+        "duration_sec": (finished - started).total_seconds(),
+        "status": FAILED if error is not None else DONE,
+        "error": error,
+    }
+    for name, value in (totals or {}).items():
+        row[name] = value.isoformat() if isinstance(value, date) else value
+    columns = [part.split()[0] for part in RUN_SCHEMA.split(", ")]
+    record = spark.createDataFrame([[row.get(c) for c in columns]], RUN_SCHEMA)
+    record.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All recorded runs; an empty table before the first."""
+    runs = _load(spark.read.schema(f"{RUN_SCHEMA}, run_id STRING").format("parquet"), path)
+    return spark.createDataFrame([], f"{RUN_SCHEMA}, run_id STRING") if runs is None else runs
 
 
 def run_history(runs: DataFrame, n: int = fixed.RUN_HISTORY) -> DataFrame:

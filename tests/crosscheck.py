@@ -6,6 +6,7 @@ Usage: python tests/crosscheck.py [directory] [query ...]
 import math
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -64,6 +65,7 @@ def main():
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

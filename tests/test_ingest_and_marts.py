@@ -72,12 +72,25 @@ def test_json_mart_has_iso_dates_and_no_nan(spark, tmp_path):
 
 
 def test_run_history_is_newest_first(spark, tmp_path):
-    totals = spark.createDataFrame([(1,)], "total_units BIGINT")
-    for day in (2, 3, 1):
-        marts.append_run(totals, str(tmp_path / "runs"), dt.datetime(2024, 1, day))
-    runs = spark.read.parquet(str(tmp_path / "runs"))
+    path = str(tmp_path / "runs")
+    assert marts.read_runs(spark, path).count() == 0
+    for day in (2, 3, 1, 3):  # a run that is recorded again is replaced
+        start = dt.datetime(2024, 1, day)
+        marts.record_run(spark, path, f"r{day}", start, {"total_units": day}, finished=start + dt.timedelta(seconds=5))
+    runs = marts.read_runs(spark, path)
+    assert runs.count() == 3
     assert [r.run_at.day for r in marts.run_history(runs, 2).collect()] == [3, 2]
-    assert marts.latest_run(runs).first().run_at.day == 3
+    last = marts.latest_run(runs).first()
+    assert (last.run_at.day, last.status, last.duration_sec, last.total_units) == (3, "completed", 5.0, 3)
+
+
+def test_a_failed_run_is_recorded_with_its_error(spark, tmp_path):
+    out = str(tmp_path / "out")
+    empty = baskets(star.lines(spark, SF)).limit(0)
+    with pytest.raises(ValueError, match="no clients"):
+        refresh(spark, empty, star.categories(spark, SF), out)
+    run = marts.read_runs(spark, f"{out}/runs").first()
+    assert (run.status, run.total_units) == ("failed", None) and "no clients" in run.error
 
 
 def test_refresh_writes_every_mart(spark, tmp_path):
@@ -97,11 +110,14 @@ def test_refresh_writes_every_mart(spark, tmp_path):
             "client_segments/mapping",
             "recommendations/rules",
             "recommendations/category_support",
-            "runs",
         )
     }
+    runs = marts.read_runs(spark, f"{out}/runs").collect()
+    assert [(r.status, r.error) for r in runs] == [("completed", None)] and runs[0].duration_sec > 0
+    assert runs[0].total_units == lines.count()
     clients = lines.select("client_id").distinct().count()
-    assert sizes["executive_summary/kpis"] == sizes["runs"] == 1
+    assert sizes["executive_summary/kpis"] == 1
+    assert marts.read_mart(spark, out, "recommendations/generated_at").count() == 1
     assert sizes["heatmap_data/correlation_matrix"] == 49
     assert sizes["clustering/elbow"] == 4
     assert sizes["client_segments/mapping"] == clients
