@@ -30,6 +30,8 @@ RANGES = 32
 UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 #: Words of more characters than this are cut.
 LONGEST = 24
+#: Code points below those of all these scripts, and the bytes of the shortest word that is cut.
+PLAIN, LEAST_BYTES = r"[^\x00-\u0DFF]", 9
 #: A word that is cut, and its units: code points of those scripts and of signs, runs of letters and of digits.
 CUT = rf"[{UNSPACED}]{{3}}|[^\x20\x09-\x0D]{{{LONGEST + 1}}}"
 UNIT = rf"(?s)[{UNSPACED}]|\p{{Lu}}*[\p{{L}}\p{{M}}&&[^\p{{Lu}}{UNSPACED}]]+|\p{{Lu}}+|\p{{N}}+|."
@@ -38,12 +40,14 @@ UNIT = rf"(?s)[{UNSPACED}]|\p{{Lu}}*[\p{{L}}\p{{M}}&&[^\p{{Lu}}{UNSPACED}]]+|\p{
 def units(text: str) -> Column:
     """The words of a text, of which long ones and those of scripts without blanks are cut.
 
-    A run of lower-case letters of other scripts is one unit, however long. Texts without a word to cut
-    are only split.
+    A run of lower-case letters of other scripts is one unit, however long. Texts whose words are short
+    and of other scripts are only split: tests of bytes and of a range of code points go before the patterns.
     """
     words = F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
-    parts = lambda w: F.when(w.rlike(CUT), F.regexp_extract_all(w, F.lit(UNIT), F.lit(0))).otherwise(F.array(w))
-    return F.when(F.col(text).rlike(CUT), F.flatten(F.transform(words, parts))).otherwise(words)
+    cut = lambda w: (F.octet_length(w) >= LEAST_BYTES) & w.rlike(CUT)
+    parts = lambda w: F.when(cut(w), F.regexp_extract_all(w, F.lit(UNIT), F.lit(0))).otherwise(F.array(w))
+    some = F.col(text).rlike(PLAIN) | F.exists(words, lambda w: F.octet_length(w) > LONGEST)
+    return F.when(some, F.flatten(F.transform(words, parts))).otherwise(words)
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
@@ -112,8 +116,11 @@ def _blocks(docs: DataFrame, doc_id: str, block: int) -> Column:
     return F.when(F.col(doc_id).isNotNull(), F.array(outer.cast("double"), part.cast("double")))
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, body and next_body: the text of the next document by descending id; the first after the last.
+def with_next(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, k: int = K, s: int = S
+) -> DataFrame:
+    """doc_id, body, own (its anchors), next_body and ahead, its anchors: the next document by descending id;
+    the first after the last.
 
     Equal ids are ordered by text, null ids come last. Neighbours meet in blocks of ids; the last row of
     a block takes the first text of the block below, found by a window over one narrow row per block. First
@@ -128,18 +135,25 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block
     tops = rows.select("block", named.alias("name")).groupBy("block").agg(F.max("name").alias("name"))
     first = broadcast_if_small(written(tops, "tops"))
     heads = rows.withColumn("name", named).join(first, ["block", "name"]).groupBy("block").agg(F.max("body").alias("head"))
-    heads = written(heads, "heads")
+    heads = written(with_anchors(heads, "head", "head_own", k, s), "heads")
     order = Window.orderBy(F.col("block").desc())
     every = Window.partitionBy()
     links = heads.select("block").select(
         F.coalesce(F.lead("block").over(order), F.max("block").over(every)).alias("block"),
         F.col("block").alias("above"),
     )
-    after = heads.join(links, "block").select(F.col("above").alias("block"), F.col("head").alias("wrap"))
+    after = heads.join(links, "block").select(F.col("above").alias("block"), F.col("head").alias("wrap"), F.col("head_own").alias("wrap_own"))
     inside = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("body").desc())
-    ahead = rows.withColumn("next_body", F.lead("body").over(inside))
-    return ahead.join(after, "block").select(
-        "doc_id", "body", F.coalesce("next_body", "wrap").alias("next_body")
+    # anchors are found once per text, before the texts meet their neighbours
+    marked = with_anchors(rows, "body", "own", k, s)
+    following = F.lead(F.struct("body", "own")).over(inside)
+    met = marked.withColumn("following", following).join(after, "block")
+    return met.select(
+        "doc_id",
+        "body",
+        "own",
+        F.coalesce("following.body", "wrap").alias("next_body"),
+        F.coalesce("following.own", "wrap_own").alias("ahead"),
     )
 
 
@@ -148,15 +162,13 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, **columns) -> DataFram
 
     The edited text swaps the last third of the characters for the beginning of the next document.
     """
-    pairs = with_next(docs, **columns)
+    pairs = with_next(docs, k=k, s=s, **columns)
     n = F.length("body")
     cut = F.floor(n / 3).cast("int")
     pairs = pairs.withColumn("n_chars", n.cast("long")).withColumn(
         "edited", F.concat(F.substring("body", F.lit(1), n - cut), F.substring("next_body", F.lit(1), cut))
     )
-    pairs = with_anchors(pairs, "body", "own", k, s)
     pairs = with_anchors(pairs, "edited", "other", k, s)
-    pairs = with_anchors(pairs, "next_body", "ahead", k, s)
     return pairs.select(
         "doc_id",
         "n_chars",
