@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from canasta import fixed
-from canasta.plans.queries import CONFIDENCE, FINE_CATEGORIES, FINE_SUPPORT, LIFT, SUPPORT
+from canasta.plans.queries import CONFIDENCE, FINE_CATEGORIES, FINE_SUPPORT, LIFT, SET_SUPPORT, SUPPORT
 
 _FACT = r"""
 lines AS (
@@ -611,6 +611,16 @@ ORACLES: dict[str, str] = {
     ),
 }
 
+_SETS = f"""
+items AS (SELECT DISTINCT transaction_id AS t, category_id AS x FROM lines),
+n AS (SELECT CAST(count(DISTINCT t) AS DOUBLE) AS n FROM items),
+every AS (
+  SELECT [x] AS list, count(*) AS count FROM items GROUP BY 1
+  UNION ALL SELECT [a.x, b.x], count(*) FROM items a JOIN items b ON a.t = b.t AND a.x < b.x GROUP BY 1
+  UNION ALL SELECT [a.x, b.x, c.x], count(*) FROM items a JOIN items b ON a.t = b.t AND a.x < b.x
+            JOIN items c ON c.t = a.t AND b.x < c.x GROUP BY 1),
+sets AS (SELECT list, array_to_string(list, ' ') AS items, count FROM every, n WHERE count / n >= {SET_SUPPORT}e0)"""
+
 _BY_SIZE = """
 by_size AS (
   SELECT segment_id, CAST(row_number() OVER (ORDER BY count(*) DESC, segment_id) - 1 AS INTEGER) AS new_id
@@ -693,6 +703,26 @@ ORACLES |= {
         FROM fact JOIN segments USING (client_id) JOIN by_size USING (segment_id)
         GROUP BY new_id, category_name QUALIFY rank <= 10""",
     ),
+    "kpis_of_months": _with(
+        _FACT, _KPIS + " WHERE store_id IN (1, 3, 4) AND strftime(date, '%Y-%m') BETWEEN '1995-03' AND '1996-08'"
+    ),
+    "sketched_clients": _with(
+        _FACT,
+        """ SELECT CAST(year(date) AS INTEGER) AS year, count(DISTINCT client_id) AS num_clients, 1 AS is_near
+        FROM lines GROUP BY 1""",
+    ),
+    "frequent_itemsets": _with(_FACT, _SETS, " SELECT items, count, round(count / n, 4) AS support FROM sets, n"),
+    "itemset_rules": _with(
+        _FACT,
+        _SETS,
+        """ SELECT a.items AS antecedents, c.x AS consequent_id, round(s.count / n, 4) AS support,
+               round(s.count / n / (a.count / n), 4) AS confidence,
+               round(s.count / n / (a.count / n * (c.count / n)), 4) AS lift
+        FROM (SELECT *, unnest(list) AS out FROM sets WHERE len(list) > 1) s
+        JOIN sets a ON a.list = list_filter(s.list, lambda i: i <> s.out)
+        JOIN (SELECT list[1] AS x, count FROM sets WHERE len(list) = 1) c ON c.x = s.out, n
+        WHERE s.count / n / (a.count / n) >= 0.15e0 AND s.count / n / (a.count / n * (c.count / n)) >= 1.1e0""",
+    ),
     "incremental_kpis": ORACLES["overall_kpis"],
     "incremental_sales_by_store": ORACLES["sales_by_store"],
     "incremental_heatmap": ORACLES["weekly_heatmap"],

@@ -14,9 +14,11 @@ from canasta import fixed
 from canasta.functions import columns as c
 from canasta.functions.columns import iso_dates, sanitize_floats
 from canasta.operators import (
+    bitmaps,
     distributions,
     features as feats,
     grain,
+    itemsets,
     kpis,
     recommend,
     rules,
@@ -36,6 +38,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 SUPPORT, CONFIDENCE, LIFT = 0.02, 0.14, 1.0
 #: Categories of the queries on fine categories, and their support.
 FINE_CATEGORIES, FINE_SUPPORT = 449, 0.0003
+#: Support of sets of up to three categories.
+SET_SUPPORT = 0.0015
 
 _QUERIES: dict[str, Query] = {}
 
@@ -87,9 +91,13 @@ def _visits(spark, sf_dir):
     )
 
 
+def _store_months(spark, sf_dir):
+    """The mergeable KPI table, from one read of the fact."""
+    return bitmaps.store_months(grain.baskets(star.lines(spark, sf_dir)))
+
+
 def _kpis(spark, sf_dir):
-    visits = _visits(spark, sf_dir)
-    return kpis.kpis(visits.select(F.explode("categories").alias("category_id")), visits)
+    return bitmaps.kpis(_store_months(spark, sf_dir))
 
 
 def _features(spark, sf_dir):
@@ -352,6 +360,28 @@ def overall_kpis(spark, sf_dir):
     return _kpis(spark, sf_dir)
 
 
+@_query
+def kpis_of_months(spark, sf_dir):
+    """Some months of some stores, from the tables of two halves of the baskets."""
+    baskets = _baskets(spark, sf_dir)
+    halves = [baskets.where(F.pmod(F.xxhash64("transaction_id"), F.lit(2)) == i) for i in (0, 1)]
+    table = bitmaps.merged(bitmaps.store_months(halves[0]).union(bitmaps.store_months(halves[1])))
+    return bitmaps.kpis(table, "1995-03", "1996-08", [1, 3, 4])
+
+
+@_query
+def sketched_clients(spark, sf_dir):
+    """Clients per year by sketches of store and month, with whether they are within 3 % of the exact count."""
+    txns = materialize(_txns(spark, sf_dir), "txns")
+    sketches = materialize(bitmaps.client_sketches(txns), "sketches")
+    exact = txns.groupBy(F.year("date").alias("year")).agg(F.countDistinct("client_id").alias("num_clients"))
+    merged = sketches.groupBy(F.substring("month", 1, 4).cast("int").alias("year")).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("clients")).alias("about")
+    )
+    near = F.abs(F.col("about") - F.col("num_clients")) <= F.col("num_clients") * 0.03
+    return exact.join(merged, "year").select("year", "num_clients", near.cast("int").alias("is_near"))
+
+
 @_query
 def top_categories(spark, sf_dir):
     return kpis.top_categories(_lines(spark, sf_dir), star.categories(spark, sf_dir))
@@ -699,6 +729,26 @@ def frequent_pair_counts(spark, sf_dir):
     )
 
 
+def _itemsets(spark, sf_dir):
+    baskets = materialize(grain.baskets(_lines(spark, sf_dir)).select("transaction_id", "items"), "items")
+    return itemsets.frequent_itemsets(baskets, SET_SUPPORT, 3)
+
+
+@_query
+def frequent_itemsets(spark, sf_dir):
+    found = _itemsets(spark, sf_dir)
+    names = F.array_join(F.transform("items", lambda i: i.cast("string")), " ")
+    return found.select(names.alias("items"), "count", F.round("support", 4).alias("support"))
+
+
+@_query
+def itemset_rules(spark, sf_dir):
+    """Rules with one or two antecedents."""
+    found = itemsets.itemset_rules(_itemsets(spark, sf_dir), 0.15, 1.1)
+    names = F.array_join(F.transform("antecedent_ids", lambda i: i.cast("string")), " ")
+    return found.select(names.alias("antecedents"), "consequent_id", "support", "confidence", "lift")
+
+
 @_query
 def association_rules(spark, sf_dir):
     return rules.ordered_rules(_rules(spark, sf_dir))
