@@ -7,10 +7,10 @@ bucket, and a pair is a link when its exact weighted Jaccard similarity is at le
 are the connected components of the links. A pair at the threshold meets with probability
 1 - (1 - 0.8⁴)^14 > 0.999.
 
-Large buckets are not expanded into pairs. Equal texts are one node from the start. In each round a bucket
-that still holds several classes compares a few leaders with its nodes of other classes, and links join
-classes. Once few pairs of different classes are left in all buckets, or a round no longer joins many,
-those left are compared one by one. So no link between different classes is missed, while links within
+Buckets of more than ``SMALL`` nodes are never expanded into pairs. Equal texts are one node from the start. In each
+round a large bucket that still holds several classes compares a few leaders with its nodes of other classes, and
+links join classes. Once a round no longer joins many, the texts left in such buckets meet by an exact prefix
+filter on their rarest shingles (``prefix_pairs``). So no link between different classes is missed, while links within
 a class need not be looked for. Pairs whose total weights alone rule out the threshold are left out.
 
 Defined cases: a null text is an empty one; empty texts are equal, hence one class. A text of fewer than
@@ -23,6 +23,8 @@ words there are; words that share a cell share their frequency.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,8 +38,8 @@ SIMILARITY = 0.8
 BANDS = 14
 ROWS = 4
 CELLS = 1 << 18
-#: Pairs left per compared node at which a round compares them all.
-PAIRS_PER_NODE = 2
+#: Nodes of a bucket up to which all its pairs are compared at once.
+SMALL = 16
 #: Leaders of a bucket and round.
 LEADERS = 16
 
@@ -231,6 +233,79 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _others(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "bucket", F.col("node").alias("other"), F.col("class").alias("class_b"), F.col("weight").alias("weight_b")
+    )
+
+
+def _met(rows: DataFrame, others: DataFrame, order, threshold: float) -> DataFrame:
+    """(a, b) of different classes that meet in a bucket and whose total weights allow the threshold."""
+    fits = F.least("weight", "weight_b") >= F.greatest("weight", "weight_b") * (threshold - 1e-9)
+    met = rows.join(others, "bucket").where((F.col("class") != F.col("class_b")) & order & fits)
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
+def leader_pairs(rows: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Pairs of each bucket's leaders of this turn with its nodes of other classes."""
+    rank = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    chosen = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= LEADERS)
+    return _met(rows, _others(chosen), F.col("node") != F.col("other"), threshold)
+
+
+def prefix_pairs(rows: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """All pairs of different classes that can reach the threshold, by an exact prefix filter.
+
+    Shingles are put in one order, rare ones first. If two texts reach the threshold t, the first shingle that
+    they share has, with those after it, at least t of either text's weight, and t / (1 + t) of both weights
+    together. So only shingles of such a rest are emitted, and a text with more than 1 - t of its weight in
+    shingles of its own meets nobody. Frequencies for the order are counted in ``CELLS`` cells among these texts.
+    """
+    members = rows.select("node", "class").distinct()
+    found = written(texts.join(members, "node").select("node", "class", "text"), "open-texts")
+    spark = found.sparkSession
+    small_batches(spark)
+    weights = spark.sparkContext.broadcast(idf)
+
+    def count(batches):
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, _, words in word_chunks(batch.column(0)):
+                cells += np.bincount(cells_of(weighted_shingles(words, weights.value)[1]), minlength=CELLS)
+        used = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
+
+    counts = found.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(CELLS, np.int64)
+    frequency[counts.cell.to_numpy()] = counts.n.to_numpy()
+    shared = spark.sparkContext.broadcast(frequency)
+
+    def cut(batches):
+        for batch in batches:
+            nodes, classes, column = batch.columns
+            for at, _, words in word_chunks(column):
+                doc, value, weight = weighted_shingles(words, weights.value)
+                order = np.lexsort((value, shared.value[cells_of(value)], doc))
+                doc, value, weight = doc[order], value[order], weight[order]
+                total = np.bincount(doc, weight, words.texts)
+                border = np.searchsorted(doc, np.arange(words.texts + 1))
+                through = np.concatenate([[0.0], np.cumsum(weight)])
+                left = total[doc] - (through[:-1] - through[border[doc]])
+                keep = left >= total[doc] * (threshold - 1e-9)
+                own = pa.array(doc[keep] + at)
+                arrays = [nodes.take(own), classes.take(own), pa.array(value[keep].view(np.int64)), pa.array(left[keep]), pa.array(total[doc[keep]])]
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "class", "shingle", "left", "total"])
+
+    schema = "node binary, class binary, shingle long, left double, total double"
+    prefixes = written(found.select("node", "class", "text").mapInArrow(cut, schema), "prefixes")
+    shared_shingles = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
+    prefixes = written(prefixes.join(shared_shingles, "shingle"), "shared-prefixes")
+    other = prefixes.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "class", "left", "total")])
+    enough = F.least("left", "left_b") >= (F.col("total") + F.col("total_b")) * (threshold / (1 + threshold) - 1e-9)
+    met = prefixes.join(other, "shingle").where((F.col("class") != F.col("class_b")) & (F.col("node") < F.col("node_b")) & enough)
+    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY
 ) -> DataFrame:
@@ -249,37 +324,30 @@ def near_duplicates(
     body = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(F.col(doc_id).cast("long").alias("_id"), F.unhex(F.md5(body.cast("binary"))).alias("node"), body.alias("text"))
     texts = written(found.join(chosen, ["_id", "node"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    total = texts.count()
 
     labels = members.select("node", F.col("node").alias("class"))
     links = checked = before = None
-    turn, last = 0, False
-    while not last:
+    turn = 0
+    while True:
         turn += 1
         now = written(entries.join(labels, "node"), "classes")
         sizes = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("classes")
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")
         )
         open_buckets = written(sizes.where("classes > 1"), "open")
-        left = open_buckets.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
-        if not left:
-            break
-        rest = now.join(open_buckets.select("bucket"), "bucket")
-        apart = open_buckets.agg(F.sum(F.col("classes") - 1)).first()[0]
-        last = left <= PAIRS_PER_NODE * total or (before is not None and apart > before * 3 / 4)
+        large = open_buckets.where(F.col("n") > SMALL)
+        apart = large.agg(F.sum(F.col("classes") - 1)).first()[0] or 0
+        # leaders no longer join classes: what is left is compared by its rarest shingles
+        last = before is not None and apart > before * 3 / 4
         before = apart
-        if last:
-            chosen, order = rest, F.col("node") < F.col("other")
-        else:
-            rank = Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-            chosen = rest.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= LEADERS)
-            order = F.col("node") != F.col("other")
-        chosen = chosen.select(
-            "bucket", F.col("node").alias("other"), F.col("class").alias("class_b"), F.col("weight").alias("weight_b")
-        )
-        fits = F.least("weight", "weight_b") >= F.greatest("weight", "weight_b") * (threshold - 1e-9)
-        met = rest.join(chosen, "bucket").where((F.col("class") != F.col("class_b")) & order & fits)
-        pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        rest = now.join(large.select("bucket"), "bucket")
+        found = [prefix_pairs(rest, texts, idf, threshold) if last else leader_pairs(rest, turn, threshold)] if apart else []
+        if turn == 1:
+            few = now.join(open_buckets.where(F.col("n") <= SMALL).select("bucket"), "bucket")
+            found.append(_met(few, _others(few), F.col("node") < F.col("other"), threshold))
+        if not found:
+            break
+        pairs = reduce(DataFrame.union, found).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -287,6 +355,8 @@ def near_duplicates(
         links = fresh if links is None else links.union(fresh)
         checked = pairs if checked is None else checked.union(pairs)
         labels = components(members, links)
+        if last or not apart:
+            break
     named = nodes.select("node", "doc_id").join(labels, "node", "left")
     named = named.withColumn("class", F.coalesce("class", "node"))
     least = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
