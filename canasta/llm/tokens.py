@@ -35,6 +35,15 @@ BATCH = 128
 #: Pieces whose ids a worker remembers.
 REMEMBERED = 1_500_000
 
+#: Texts by which a vocabulary is tried for sure borders of pieces.
+TRIALS = [
+    "The quick brown fox, it's 12345 km away; isn't it? Yes!",
+    "a b  c   d\te\n f\n\ng\r\nh ",
+    "naïve façade – “quoted” … über größe ñandú, x.y:z!",
+    "CamelCase snake_case 3.14 1,000 a1b2 $5 #tag @me http://a.b/c?d=e",
+    "漢字 かな 한글 😀 end. Next line,\nnew? word!\nend",
+]
+
 MANIFEST = "part int, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -50,20 +59,27 @@ class Encoder:
     The vocabulary's pattern always begins a new piece at a blank between two characters that are no
     white space, and no merge crosses pieces. Texts are cut there, and the ids of a text are those of
     its pieces in order. New pieces are encoded together, a line each: a line break between two of them
-    is one id of its own.
+    is one id of its own. Whether a vocabulary cuts so is tried on ``TRIALS``; with one that does not, whole
+    texts are encoded.
+
+    Strings of special tokens become their ids, as the library does it; texts that hold one are encoded
+    whole. With ``special_as_text`` they are ordinary text.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.type).tobytes()
-        self.line = self._ids("a\n b")[1]
+        self.line = self._ids("\n")[0]
         #: Ids of pieces at the beginning of a text or line, and of those after a blank (not part of the key).
         self.first: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.cuts = self._cuts_hold()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
@@ -107,7 +123,23 @@ class Encoder:
             self.known.update((p[1:], i) for p, i in out.items() if p[:1] == " " and p[1:] and p[1:] == p[1:].strip())
         return out
 
+    def _cuts_hold(self) -> bool:
+        whole = [self._ids(t).tobytes() for t in TRIALS]
+        try:
+            return self._cut(TRIALS) == whole
+        except (ValueError, KeyError):  # a line of its own is not even an id of its own
+            return False
+
+    def _is_whole(self, text: str | None) -> bool:
+        return bool(text) and (not self.cuts or self.added is not None and self.added.search(text) is not None)
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        whole = {i: self._ids(t).tobytes() for i, t in enumerate(texts) if self._is_whole(t)}
+        found = self._cut([None if i in whole else t for i, t in enumerate(texts)])
+        return [np.frombuffer(whole.get(i, ids) + self.end, self.type) for i, ids in enumerate(found)]
+
+    def _cut(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of texts without special tokens, by pieces."""
         get, cut, found, new = self.known.get, [], [], set()
         for text in texts:
             pieces = text.split(" ") if text else []
@@ -128,16 +160,16 @@ class Encoder:
                 if None in ids:
                     ids[:] = [fresh[" " + p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
                 ids[0] = fresh[pieces[0]]
-        return [np.frombuffer(b"".join(ids) + self.end, self.type) for ids in found]
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(path: str, end_id: int) -> Encoder:
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+def _encoder(*options) -> Encoder:
+    if options not in _encoders:
+        _encoders[options] = Encoder(*options)
+    return _encoders[options]
 
 
 class _Sequences:
@@ -192,6 +224,7 @@ def write_sequences(
     length: int = LENGTH,
     doc_id: str = "doc_id",
     text: str = "text",
+    special_as_text: bool = False,
 ) -> DataFrame:
     """Encodes ``docs`` and writes the data set to ``path``; returns its manifest, one row per file pair.
 
@@ -204,7 +237,7 @@ def write_sequences(
         context = TaskContext.get()
         fs, base = _store(path)
         fs.create_dir(base, recursive=True)
-        encode = _encoder(tokenizer, end_id)
+        encode = _encoder(tokenizer, end_id, special_as_text)
         name = posixpath.join(base, f"{context.partitionId():06d}")
         attempt = f".{context.taskAttemptId()}"
         names, starts, at, out = [], [], 0, None
