@@ -1,9 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Each source's documents are shuffled by hash and laid end to end; the stream is cut into blocks of
-equal words. Slot k of the mix takes the van der Corput point of k, which falls into one source's piece
-of the cumulated shares. The r-th slot of a source takes block r mod (its blocks), so passes repeat
-only after a whole pass, and a source's slots are spread evenly over the mix.
+equal words, at least ``LEAST_BLOCKS`` where it has so many words. Slot k of the mix takes the van der Corput
+point of k, which falls into one source's piece of the cumulated shares. The r-th slot of a source takes block r mod
+(its blocks), so passes repeat only after a whole pass, and a source's slots are spread evenly over the mix.
+A source gets its whole number of slots: what the points give beyond is void, and what they leave out,
+a few slots or all of a tiny source, follows after the last point. So the words taken are within about
+half a block of the target, 1 % of it or one word.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source, ordered last;
 repeated rows are separate rows; an empty table gives an empty mix; sources without words get target 0.
@@ -19,8 +22,9 @@ from canasta.session import broadcast_if_small
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-#: Words of a block.
+#: Most words of a block, and the blocks that a source is cut into at least.
 BLOCK = 64
+LEAST_BLOCKS = 50
 #: Cells of the unit interval that points and shares are matched by.
 CELLS = 1024
 #: Rows that are numbered together.
@@ -58,17 +62,22 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_passes=MAX_PASSES) ->
 
 
 def with_blocks(sources: DataFrame, block: int) -> DataFrame:
-    """``sources`` with their number of blocks; the last one keeps what is left over (below two blocks)."""
-    return sources.withColumn("blocks", F.greatest(F.lit(1), F.expr(f"source_size div {block}")))
+    """``sources`` with their block, in words, and number of blocks; the last one keeps what is left over (below
+    two blocks)."""
+    words = F.greatest(F.lit(1), F.least(F.lit(block), F.expr(f"source_size div {LEAST_BLOCKS}")))
+    sized = sources.withColumn("block", words.cast("long"))
+    return sized.withColumn("blocks", F.greatest(F.lit(1), F.expr("source_size div block")))
 
 
 def schedule(sources: DataFrame, slots: int, max_passes=MAX_PASSES) -> DataFrame:
-    """``slots`` slots: slot, source_no, pass, block_no.
+    """About ``slots`` slots: slot, source_no, pass, block_no.
 
     ``sources`` has source_no, blocks and share (summing to 1). Points and shares meet in cells of the
-    unit interval, an equality join whose right side has at most a row per cell and source. Slots past
-    ``max_passes`` passes of their source are void.
+    unit interval, an equality join whose right side has at most a row per cell and source. Each source
+    gets its share of the slots, rounded, and at most ``max_passes`` passes.
     """
+    quota = F.least(F.round(F.col("share") * slots).cast("long"), F.col("blocks") * max_passes)
+    sources = sources.withColumn("quota", F.coalesce(quota, F.lit(0).cast("long")))
     spark = sources.sparkSession
     ordered = Window.orderBy("source_no")
     upto = F.sum("share").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
@@ -87,13 +96,16 @@ def schedule(sources: DataFrame, slots: int, max_passes=MAX_PASSES) -> DataFrame
     ).where((F.col("point") >= F.col("from")) & (F.col("point") < F.col("upto")))
     taken = written(taken.select("slot", "source_no", "blocks"), "slots")
     bucket = F.expr(f"slot div {NUMBERED_TOGETHER}")
-    ranked = numbered(taken, ["source_no"], bucket, ["slot"], "rank")
-    return ranked.select(
-        "slot",
-        "source_no",
-        F.expr("rank div blocks").alias("pass"),
-        F.pmod("rank", "blocks").alias("block_no"),
-    ).where(F.col("pass") < max_passes)
+    ranked = numbered(taken, ["source_no"], bucket, ["slot"], "rank").select("slot", "source_no", "rank")
+    given = taken.groupBy("source_no").agg(F.count(F.lit(1)).alias("given"))
+    short = sources.join(given, "source_no", "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    short = short.where("quota > given").select("source_no", F.explode(F.sequence("given", F.col("quota") - 1)).alias("rank"))
+    # after the points sources take turns, in the order of (slot, source_no)
+    late = short.select((F.col("rank") + F.lit(slots)).alias("slot"), "source_no", "rank")
+    every = ranked.union(late).join(broadcast_if_small(sources.select("source_no", "blocks", "quota")), "source_no")
+    return every.where("rank < quota").select(
+        "slot", "source_no", F.expr("rank div blocks").alias("pass"), F.pmod("rank", "blocks").alias("block_no")
+    )
 
 
 def sized_documents(docs: DataFrame, doc_id="doc_id", text="text", source="source") -> DataFrame:
@@ -115,7 +127,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_passes=MAX_PASSES, block=BLOCK, **
     """
     sized = written(sized_documents(docs, **columns), "sized")
     sources = written(with_blocks(source_targets(sized, weights, max_passes), block), "sources")
-    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("blocks"))
+    wanted = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.col("blocks")))
     sources = sources.withColumn("slots", F.coalesce(wanted, F.lit(0.0)))
     total = sources.agg(F.sum("slots")).first()[0] or 0.0
     shared = sources.withColumn("share", F.col("slots") / F.lit(total) if total else F.lit(0.0))
@@ -127,14 +139,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_passes=MAX_PASSES, block=BLOCK, **
     rows = sized.join(keyed, sized["source"].eqNullSafe(keyed["source"])).drop("source")
     bucket = F.pmod(F.xxhash64("mark"), F.expr(f"1 + source_rows div {NUMBERED_TOGETHER}"))
     placed = numbered(rows, ["source_no"], bucket, ["mark", "doc_id", "size"], "place", "size", "start")
-    at = lambda x: F.least(F.expr(f"({x}) div {block}"), F.col("blocks") - 1)
+    at = lambda x: F.least(F.expr(f"({x}) div block"), F.col("blocks") - 1)
     cut = placed.withColumn(
         "block_no", F.explode(F.sequence(at("start"), F.greatest(at("start"), at("start + size - 1"))))
     )
     block_end = F.when(F.col("block_no") == F.col("blocks") - 1, F.col("source_size")).otherwise(
-        (F.col("block_no") + 1) * block
+        (F.col("block_no") + 1) * F.col("block")
     )
-    words = F.least(F.col("start") + F.col("size"), block_end) - F.greatest("start", F.col("block_no") * block)
+    words = F.least(F.col("start") + F.col("size"), block_end) - F.greatest("start", F.col("block_no") * F.col("block"))
     pieces = cut.withColumn("words", F.greatest(F.lit(0), words)).join(used, ["source_no", "block_no"], "left")
     return pieces.groupBy("source_no", "place").agg(
         F.first("doc_id").alias("doc_id"),
