@@ -227,15 +227,21 @@ def identify(docs: DataFrame, model: Model, doc_id="doc_id", text="text") -> Dat
 
 
 def known_language(docs: DataFrame, model: Model, text="text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is found: those with at least one letter."""
+    """The rows of ``docs``, all columns, that the parse finds a language for: those with at least one letter.
+
+    Only texts without a letter score 0, whatever the learned labels are called. With nothing to learn from there
+    is no parse, and the letters decide alone.
+    """
+    if not model.languages:
+        return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def found(texts: pd.Series) -> pd.Series:
-        names, at = [], 0
+        scores = []
         for at in range(0, len(texts), 100):
-            names += shared.value.predict(texts.iloc[at : at + 100].tolist())[0]
-        return pd.Series([n != UNKNOWN for n in names], dtype=bool)
+            scores += shared.value.predict(texts.iloc[at : at + 100].tolist())[1]
+        return pd.Series([s > 0 for s in scores], dtype=bool)
 
     small_batches(docs.sparkSession)
     return docs.where(found(F.col(text)))
