@@ -65,6 +65,16 @@ def test_texts_without_letters_are_unknown(spark, corpus, odd, empty):
     assert {r["lang_pred"] for r in language.identify(corpus, language.fit(empty)).collect()} == {"und"}
 
 
+def test_the_stage_drops_texts_without_letters_alone(spark, corpus, empty):
+    """Also with nothing to learn from, with held-out labels only, and with a language named as the unknown one."""
+    letters = corpus.where(F.col("text").rlike(r"\p{L}")).count()
+    named = corpus.withColumn("lang", F.lit("und"))
+    held = corpus.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, "en"))
+    for docs in (corpus, corpus.withColumn("lang", F.lit(None).cast("string")), named, held):
+        assert language.known_language(docs, language.fit(docs)).count() == letters
+    assert language.known_language(empty, language.fit(empty)).count() == 0
+
+
 # --- near duplicates ------------------------------------------------------------------------------
 
 
@@ -100,9 +110,11 @@ def brute_classes(corpus, idf):
     return {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("pairs_per_node", [1000, 0.0])
-def test_classes_are_those_of_all_pairs(corpus, pairs_per_node, monkeypatch):
-    monkeypatch.setattr(near, "PAIRS_PER_NODE", pairs_per_node)
+@pytest.mark.parametrize("small, leaders", [(1000, 16), (1, 16), (1, 0)])
+def test_classes_are_those_of_all_pairs(corpus, small, leaders, monkeypatch):
+    """All pairs of a bucket, leaders and the prefix filter, and the prefix filter alone."""
+    monkeypatch.setattr(near, "SMALL", small)
+    monkeypatch.setattr(near, "LEADERS", leaders)
     idf, total = near.document_frequencies(corpus)
     assert total == corpus.count()
     got = near.near_duplicates(corpus).collect()
@@ -110,6 +122,29 @@ def test_classes_are_those_of_all_pairs(corpus, pairs_per_node, monkeypatch):
     assert all(r["class_id"] == min(g) for g in classes_of(got) for r in got if r["doc_id"] in g)
 
 
+def test_prefix_filter_loses_no_pair(spark):
+    """A large group of edited copies around the threshold: candidates hold every link and few other pairs."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(0, 9), replace=False):
+            words[at] = f"x{rng.integers(60)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf, _ = near.document_frequencies(docs)
+    signed = near.signatures(docs, idf)
+    texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text").dropDuplicates(["node"])
+    found = near.prefix_pairs(signed.select("node", F.col("node").alias("class")), texts, idf, 0.8)
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in found.collect()}
+    nodes = [bytes(r["node"]) for r in texts.select("node").orderBy("node").collect()]
+    every = spark.createDataFrame(list(combinations(nodes, 2)), "a binary, b binary")
+    links = {(bytes(r["a"]), bytes(r["b"])) for r in near.similar_pairs(every, texts, idf, 0.8).collect()}
+    assert links and links <= got
+    assert len(got) < 0.5 * len(nodes) * (len(nodes) - 1) / 2
+
+
 def test_samples_agree_as_often_as_weights_overlap():
     rng = np.random.default_rng(5)
     value = rng.integers(1, 2**63, 300).astype(np.uint64)
@@ -311,3 +346,20 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
         assert out.columns == docs.columns, name
         assert out.count() == out.select("doc_id").distinct().count() > 0.8 * docs.count()
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_of_odd_and_unlabelled_tables(spark, odd, empty):
+    """Null ids, repeated rows and clashing columns go through all stages; labels are not needed."""
+    import corpus_pipeline
+
+    for docs, some in ((odd, True), (odd.withColumn("lang", F.lit(None).cast("string")), True), (empty, False)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "token_output":
+                assert out.columns == odd.columns, name
+                docs = materialized(out)
+            assert (out.count() > 0) == some, name
+
+
+def materialized(df):
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
