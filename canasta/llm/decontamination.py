@@ -92,12 +92,23 @@ def _numbers() -> Column:
 
 
 def similarity(a: str, b: str) -> Column:
-    """Weighted Jaccard similarity of two arrays, by the counts of their elements."""
-    count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(count(F.col(a), x), count(F.col(b), x)))
+    """Weighted Jaccard similarity of two arrays by the counts of their elements, which ``occurrences`` has told apart."""
+    both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)
 
 
+def slices(texts: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``windows`` (mark, size, k, first) with own, the window's shingles.
+
+    A text meets its windows as one list, so that its shingles are there once and not for every window.
+    """
+    lists = windows.groupBy("mark").agg(F.collect_list(F.struct("size", "k", "first")).alias("windows"))
+    each = texts.join(lists, "mark").select("mark", *(f"s{i}" for i in lengths), F.inline("windows"))
+    span = F.col("size") - F.col("k") + 1
+    own = F.coalesce(*(F.when(F.col("k") == i, F.slice(f"s{i}", F.col("first") + 1, span)) for i in lengths))
+    return each.select("mark", "size", "k", "first", own.alias("own"))
+
+
 def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """item_id, size in words, k (its shingles' length) and shingles of the items that have words."""
     rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
@@ -148,24 +159,27 @@ def contaminated(
 
     marks = broadcast_if_small(windows.select("mark").distinct())
     again = rows.select("mark", "body").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
-    again = with_shingles(again, "body", lengths).drop("body")
-    chosen = F.get(F.array(*(F.col(f"s{i}") for i in range(1, max(lengths) + 1))), F.col("k") - 1)
-    cut = windows.join(again, "mark").withColumn("own", F.slice(chosen, F.col("first") + 1, F.col("size") - F.col("k") + 1))
-    cut = written(cut.select("mark", "size", "first", "own", occurrences("own").alias("votes")), "cuts")
-    cut = written(cut.select("mark", "size", "first", "own", simhash(F.col("votes")).alias("print")), "prints")
+    again = written(with_shingles(again, "body", lengths).select("mark", *(f"s{i}" for i in lengths)), "shingled")
+    # of equal windows of a text the first one stands for all: repeated passages cost no more than one
+    told = slices(again, windows, lengths).withColumn("content", F.xxhash64("own"))
+    first = written(told.groupBy("mark", "size", "k", "content").agg(F.min("first").alias("first")), "first-windows")
+    cut = slices(again, first, lengths)
+    cut = written(cut.select("mark", "size", "first", occurrences("own").alias("votes")), "cuts")
+    cut = written(cut.select("mark", "size", "first", "votes", simhash(F.col("votes")).alias("print")), "prints")
 
     probes = cut.select("mark", "size", "first", "print", _numbers().alias("block"))
     probes = probes.withColumn("value", _block("print", F.col("block")))
     index = written(items.select("item_id", "size", occurrences("shingles").alias("votes")), "votes")
+    item_votes = index.select("item_id", F.col("votes").alias("item_votes"))
     index = index.select("item_id", "size", simhash(F.col("votes")).alias("item_print"))
     index = index.select("item_id", "size", "item_print", _numbers().alias("block"))
     index = index.withColumn("value", F.explode(F.transform(_flips(), lambda m: _block("item_print", F.col("block")).bitwiseXOR(m))))
     near = probes.join(broadcast_if_small(index), ["size", "block", "value"])
     near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     near = near.select("mark", "first", "size", "item_id").distinct()
-    pairs = near.join(cut.select("mark", "first", "size", "own"), ["mark", "first", "size"])
-    pairs = pairs.join(items.select("item_id", "shingles"), "item_id")
-    scored = pairs.select("mark", "item_id", "first", similarity("own", "shingles").alias("similarity"))
+    pairs = near.join(cut.select("mark", "first", "size", "votes"), ["mark", "first", "size"])
+    pairs = pairs.join(item_votes, "item_id")
+    scored = pairs.select("mark", "item_id", "first", similarity("votes", "item_votes").alias("similarity"))
     best = scored.where(F.col("similarity") >= threshold - 1e-9).groupBy("mark", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("first")).alias("back"))).alias("best")
     )

@@ -1,6 +1,7 @@
 """Language, near duplicates, decontamination and licenses against brute force; the pipeline."""
 
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -363,3 +364,17 @@ def test_pipeline_of_odd_and_unlabelled_tables(spark, odd, empty):
 
 def materialized(df):
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def test_many_copies_of_an_item_in_one_document(spark):
+    """A long document that repeats an item costs little more than one that holds it once."""
+    rng = np.random.default_rng(3)
+    item = " ".join(f"w{i}" for i in rng.permutation(300))
+    docs = spark.createDataFrame(
+        [(1, " ".join([item] * 60)), (2, f"before {item} after"), (3, "ha " * 9000), (4, "clean words only")], "doc_id long, text string"
+    )
+    bench = spark.createDataFrame([(7, item), (8, "ha " * 250)], "item_id long, text string")
+    start = time.monotonic()
+    got = {(r["doc_id"], r["item_id"], r["first_word"], r["similarity"]) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(1, 7, 0, 1.0), (2, 7, 1, 1.0), (3, 8, 0, 1.0)}
+    assert time.monotonic() - start < 90
