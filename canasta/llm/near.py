@@ -41,7 +41,7 @@ CELLS = 1 << 18
 #: Nodes of a bucket up to which all its pairs are compared at once.
 SMALL = 16
 #: Leaders of a bucket and round.
-LEADERS = 16
+LEADERS = 4
 
 _TABLE = 1 << 16
 _MASK = np.uint64(_TABLE - 1)
