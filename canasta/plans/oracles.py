@@ -703,6 +703,21 @@ ORACLES |= {
         FROM fact JOIN segments USING (client_id) JOIN by_size USING (segment_id)
         GROUP BY new_id, category_name QUALIFY rank <= 10""",
     ),
+    "text_load_faults": f"""WITH {_TEXT}
+        SELECT store_id, count(*) AS num_rows, count(*) FILTER (contains(items_str, 'x')) AS faulty_rows,
+               CAST(0 AS BIGINT) AS empty_baskets, CAST(0 AS BIGINT) AS bad_fields, CAST(0 AS BIGINT) AS bad_date,
+               CAST(0 AS BIGINT) AS bad_store_id, CAST(0 AS BIGINT) AS bad_client_id,
+               count(*) FILTER (contains(items_str, 'x')) AS bad_item
+        FROM raw GROUP BY store_id""",
+    "text_quarantine": f"""WITH {_TEXT}
+        SELECT CAST(store_id AS VARCHAR) AS store_id, 'item' AS reason, 'x' AS value, count(*) AS num_faults
+        FROM raw WHERE contains(items_str, 'x') GROUP BY store_id""",
+    "sql_recommend_by_category": ORACLES["recommend_by_category"],
+    "sql_recommend_for_client": _with(
+        _FACT, _FEATURES, _RULES, _SEGMENT_RULES,
+        """ SELECT recommendation, confidence, lift, support, from_category, rank
+        FROM seg_rec WHERE rank <= 20 AND segment_id = (SELECT c_mktsegment FROM customer WHERE c_custkey = 7)""",
+    ),
     "kpis_of_months": _with(
         _FACT, _KPIS + " WHERE store_id IN (1, 3, 4) AND strftime(date, '%Y-%m') BETWEEN '1995-03' AND '1996-08'"
     ),

@@ -26,7 +26,7 @@ from canasta.operators import (
     timeseries,
 )
 from canasta.operators.enrich import with_category_names
-from canasta.plans import incremental, marts as documents
+from canasta.plans import incremental, marts as documents, serving
 from canasta.session import materialize, scratch_path, tune
 from canasta.sources import marts, star, text
 from canasta.streaming import ingest, state
@@ -270,6 +270,27 @@ def text_load_report(spark, sf_dir):
     return files.groupBy(store.alias("store_id")).agg(F.sum("num_rows").alias("num_rows"))
 
 
+def _checked(spark, sf_dir):
+    directory = scratch_path(spark, "text")
+    _store_files(spark, sf_dir, directory)
+    return text.read_checked_transactions(spark, directory)
+
+
+@_query
+def text_load_faults(spark, sf_dir):
+    """Rows and faults per file, the files of a store together."""
+    report = text.load_report(_checked(spark, sf_dir))
+    store = F.regexp_extract("file_name", r"store=(\d+)-\d+_Tran", 1).cast("int")
+    counts = [c for c in report.columns if c != "file_name"]
+    return report.groupBy(store.alias("store_id")).agg(*[F.sum(c).alias(c) for c in counts])
+
+
+@_query
+def text_quarantine(spark, sf_dir):
+    rows = text.quarantine(_checked(spark, sf_dir))
+    return rows.groupBy("store_id", "reason", "value").agg(F.count(F.lit(1)).alias("num_faults"))
+
+
 @_query
 def text_load_summary(spark, sf_dir):
     data = scratch_path(spark, "data")
@@ -1080,6 +1101,35 @@ def incremental_rules(spark, sf_dir):
     return document["rules"]
 
 
+def _served(spark, sf_dir):
+    """SQL functions over stored documents; the segments are the customers' market segments."""
+    baskets, categories = _baskets(spark, sf_dir), star.categories(spark, sf_dir)
+    out = scratch_path(spark, "served")
+    _, fitted = _given(spark, sf_dir)
+    try:
+        bought = grain.client_items(grain.unnest(baskets))
+        marts.write_marts(
+            documents.recommendations(baskets, categories, SUPPORT, CONFIDENCE, LIFT), f"{out}/recommendations"
+        )
+        segments = documents.client_segments(spark, fitted, bought, categories, fitted.mapping())
+        marts.write_marts(segments, f"{out}/client_segments")
+    finally:
+        fitted.release()
+    serving.register(spark, out)
+
+
+@_query
+def sql_recommend_by_category(spark, sf_dir):
+    _served(spark, sf_dir)
+    return spark.sql("SELECT * FROM recommend_by_category('Brand#12')")
+
+
+@_query
+def sql_recommend_for_client(spark, sf_dir):
+    _served(spark, sf_dir)
+    return spark.sql("SELECT recommendation, confidence, lift, support, from_category, rank FROM recommend_for_client(7)")
+
+
 def _three_runs(spark, sf_dir):
     """Three runs, of which one is recorded twice and one failed."""
     path = scratch_path(spark, "runs")

@@ -80,6 +80,65 @@ def rows_per_file(raw: DataFrame) -> DataFrame:
     return raw.groupBy("file_name").agg(F.count(F.lit(1)).alias("num_rows"))
 
 
+# ---- quarantine -------------------------------------------------------------
+
+_CORRUPT = "_corrupt_record"
+
+
+def read_checked_transactions(spark: SparkSession, directory: str) -> DataFrame:
+    """As :func:`read_raw_transactions`, with the whole line where it has not exactly four fields, else null.
+
+    Missing fields are null and further ones are left out.
+    """
+    return (
+        spark.read.schema(f"{RAW_SCHEMA}, {_CORRUPT} STRING")
+        .option("sep", fixed.FIELD_SEPARATOR)
+        .option("header", False)
+        .option("columnNameOfCorruptRecord", _CORRUPT)
+        .csv(f"{directory.rstrip('/')}/{fixed.TRANSACTION_FILES}")
+        .select(*fixed.RAW_COLUMNS, _CORRUPT, F.col("_metadata.file_name").alias("file_name"))
+    )
+
+
+def faults(checked: DataFrame) -> DataFrame:
+    """file_name, the four fields and ``faults``, an array of (reason, value): all that a lenient load drops or nulls.
+
+    Row-local; reasons are ``fields``, ``date``, ``store_id``, ``client_id`` and, for each unreadable item code, ``item``.
+    """
+    fault = lambda reason, value: F.struct(F.lit(reason).alias("reason"), value.alias("value"))
+    bad = {
+        "date": F.try_to_date("date", fixed.DATE_PATTERN).isNull(),
+        "store_id": F.col("store_id").try_cast("int").isNull(),
+        "client_id": F.col("client_id").try_cast("bigint").isNull(),
+    }
+    whole = F.array(
+        F.when(F.col(_CORRUPT).isNotNull(), fault("fields", F.col(_CORRUPT))),
+        *[F.when(test, fault(name, F.col(name))) for name, test in bad.items()],
+    )
+    unread = F.filter(tokens(F.col("items_str")), lambda token: to_whole_number(token).isNull())
+    items = F.coalesce(F.transform(unread, lambda token: fault("item", token)), F.array())
+    every = F.concat(F.array_compact(whole), items)
+    return checked.select("file_name", *fixed.RAW_COLUMNS, every.alias("faults"))
+
+
+def quarantine(checked: DataFrame) -> DataFrame:
+    """One row per fault, to be kept as a table: file_name, the line's fields, reason and value."""
+    return faults(checked).select("file_name", *fixed.RAW_COLUMNS, F.inline("faults"))
+
+
+def load_report(checked: DataFrame) -> DataFrame:
+    """Per file: rows, rows with any fault, rows without a readable item, and faults by reason. One scan."""
+    found = faults(checked)
+    readable = F.size(category_ids(F.col("items_str"))) > 0
+    of = lambda reason: F.size(F.filter("faults", lambda f: f["reason"] == reason))
+    return found.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("num_rows"),
+        F.count_if(F.size("faults") > 0).alias("faulty_rows"),
+        F.count_if(~F.coalesce(readable, F.lit(False))).alias("empty_baskets"),
+        *[F.sum(of(r)).alias(f"bad_{r}") for r in ("fields", "date", "store_id", "client_id", "item")],
+    )
+
+
 # ---- row-level steps --------------------------------------------------------
 
 
