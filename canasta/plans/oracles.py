@@ -703,6 +703,13 @@ ORACLES |= {
         FROM fact JOIN segments USING (client_id) JOIN by_size USING (segment_id)
         GROUP BY new_id, category_name QUALIFY rank <= 10""",
     ),
+    "bucketed_segment_summary": ORACLES["given_segment_summary"],
+    "bucketed_client_lookup": _with(
+        _FACT,
+        _FEATURES,
+        f""" SELECT client_id, {", ".join(f"round({f}, 4) AS {f}" if f == "avg_basket_size" else f for f in fixed.SEGMENT_FEATURES)},
+        segment_id FROM members WHERE client_id = 7""",
+    ),
     "text_load_faults": f"""WITH {_TEXT}
         SELECT store_id, count(*) AS num_rows, count(*) FILTER (contains(items_str, 'x')) AS faulty_rows,
                CAST(0 AS BIGINT) AS empty_baskets, CAST(0 AS BIGINT) AS bad_fields, CAST(0 AS BIGINT) AS bad_date,

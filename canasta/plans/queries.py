@@ -28,7 +28,7 @@ from canasta.operators import (
 from canasta.operators.enrich import with_category_names
 from canasta.plans import incremental, marts as documents, serving
 from canasta.session import materialize, scratch_path, tune
-from canasta.sources import marts, star, text
+from canasta.sources import clients, marts, star, text
 from canasta.streaming import ingest, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -666,6 +666,31 @@ def given_segment_summary(spark, sf_dir):
     return seg.segment_summary(_features(spark, sf_dir), star.market_segments(spark, sf_dir))
 
 
+def _bucketed(spark, sf_dir):
+    """Names of the bucketed tables of features and market segments; a run has tables of its own."""
+    names = []
+    features = feats.segment_features(_features(spark, sf_dir))
+    for df in (features, star.market_segments(spark, sf_dir)):
+        path = scratch_path(spark, "clients")
+        names.append(path.rpartition("/")[2].replace("-", "_"))
+        clients.write_clients(df, names[-1], path, 16)
+    return names
+
+
+@_query
+def bucketed_segment_summary(spark, sf_dir):
+    """The summary from tables bucketed by client, joined without moving a row."""
+    features, segments = (clients.read_clients(spark, name) for name in _bucketed(spark, sf_dir))
+    return seg.segment_summary(features, segments)
+
+
+@_query
+def bucketed_client_lookup(spark, sf_dir):
+    features, segments = _bucketed(spark, sf_dir)
+    row = clients.one_client(spark, features, 7).join(clients.one_client(spark, segments, 7), "client_id")
+    return row.withColumn("avg_basket_size", F.round("avg_basket_size", 4))
+
+
 @_query
 def given_segment_stats(spark, sf_dir):
     return seg.segment_stats(_features(spark, sf_dir), star.market_segments(spark, sf_dir))
