@@ -1,5 +1,8 @@
 """Bucketed client tables: no exchange in joins and groupings by client, one file for one client."""
 
+import io
+from contextlib import redirect_stdout
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,18 +16,18 @@ def tables(spark, tmp_path_factory):
     two = spark.range(0, 5000, 3).select(F.col("id").alias("client_id"), (F.col("id") % 5).cast("int").alias("segment_id"))
     buckets = clients.write_clients(one, "t_features", f"{base}/features", 8)
     assert clients.write_clients(two, "t_segments", f"{base}/segments", buckets) == 8
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxMetadataStringLength": "10000"}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield one, two
-    for key in settings:
-        spark.conf.unset(key)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for name in ("t_features", "t_segments"):
         spark.sql(f"DROP TABLE {name}")
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
 
 
 def test_joins_and_groupings_by_client_move_nothing(spark, tables):
