@@ -43,6 +43,38 @@ def client_features(txns: DataFrame, client_categories: DataFrame) -> DataFrame:
     )
 
 
+def features_of_baskets(baskets: DataFrame) -> DataFrame:
+    """The same features from baskets, which are read once and not stored.
+
+    A basket gives a row for its store, with the sums, one for its day and one per category. Grouped by (client, kind,
+    value), map-side as well, these are the client's distinct stores, days and categories, so the last grouping
+    only counts rows.
+    """
+    none = F.lit(0).cast("bigint")
+
+    def row(kind: int, value, visits=none, units=none, categories=none):
+        names = ("kind", "value", "visits", "units", "category_visits")
+        values = (F.lit(kind), value.cast("bigint"), visits, units, categories)
+        return F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
+
+    store = row(0, F.col("store_id"), F.lit(1).cast("bigint"), F.col("basket_size"), F.col("num_categories").cast("bigint"))
+    items = F.transform("items", lambda i: row(2, i["category_id"]))
+    rows = baskets.select("client_id", F.inline(F.concat(F.array(store, row(1, F.unix_date("date"))), items)))
+    sums = ("visits", "units", "category_visits")
+    pairs = rows.groupBy("client_id", "kind", "value").agg(*[F.sum(c).alias(c) for c in sums])
+    distinct = lambda kind: F.count_if((F.col("kind") == kind) & F.col("value").isNotNull())
+    per_visit = lambda c: F.sum(c).cast("double") / F.sum("visits").cast("double")
+    return pairs.groupBy("client_id").agg(
+        F.sum("visits").alias("purchase_frequency"),
+        F.sum("units").alias("total_units"),
+        per_visit("units").alias("avg_basket_size"),
+        per_visit("category_visits").alias("avg_categories_per_txn"),
+        distinct(2).alias("category_diversity"),
+        distinct(0).alias("num_stores_visited"),
+        distinct(1).alias("active_days"),
+    ).select("client_id", *fixed.FEATURES)
+
+
 def segment_features(features: DataFrame) -> DataFrame:
     """The five features the segmentation uses."""
     return features.select("client_id", *fixed.SEGMENT_FEATURES)

@@ -167,7 +167,7 @@ def _refresh(
     txns = baskets.drop("items")
     lines = unnest(baskets)
     client_categories = materialize(client_items(lines), "client-categories")
-    features = materialize(feats.client_features(txns, client_categories), "client-features")
+    features = materialize(feats.features_of_baskets(baskets), "client-features")
     segmentation = seg.fit_segments(features, n_init=n_init, max_iter=max_iter)
     try:
         mapping = materialize(segmentation.mapping(), "segments")

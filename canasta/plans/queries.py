@@ -74,23 +74,6 @@ def _named(spark, sf_dir):
     return with_category_names(star.lines(spark, sf_dir), star.categories(spark, sf_dir))
 
 
-def _visits(spark, sf_dir):
-    """One grouping of the fact, stored: a row per transaction with its distinct categories."""
-    baskets = grain.baskets(star.lines(spark, sf_dir))
-    return materialize(
-        baskets.select(
-            "transaction_id",
-            "client_id",
-            "store_id",
-            "date",
-            "basket_size",
-            "num_categories",
-            F.transform("items", lambda i: i["category_id"]).alias("categories"),
-        ),
-        "visits",
-    )
-
-
 def _store_months(spark, sf_dir):
     """The mergeable KPI table, from one read of the fact."""
     return bitmaps.store_months(grain.baskets(star.lines(spark, sf_dir)))
@@ -101,9 +84,7 @@ def _kpis(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    visits = _visits(spark, sf_dir)
-    pairs = visits.select("client_id", F.explode("categories").alias("category_id")).distinct()
-    return feats.client_features(visits, pairs)
+    return feats.features_of_baskets(grain.baskets(star.lines(spark, sf_dir)))
 
 
 def _baskets(spark, sf_dir):

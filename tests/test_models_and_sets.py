@@ -227,3 +227,20 @@ def test_client_sketches(spark):
     about = bitmaps.sketched_clients(bitmaps.client_sketches(txns), "1994-01", "1995-12").first()[0]
     exact = txns.where(F.year("date").between(1994, 1995)).select("client_id").distinct().count()
     assert about == pytest.approx(exact, rel=0.03)
+
+
+def test_features_of_baskets_equal_those_of_transactions(spark):
+    from canasta.operators.features import client_features, features_of_baskets
+    from canasta.operators.grain import client_items
+
+    lines = star.lines(spark, SF)
+    want = client_features(transactions(lines), client_items(lines))
+    got = features_of_baskets(baskets(lines))
+    assert got.dtypes == want.dtypes
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    odd = spark.sql(
+        "SELECT 1L transaction_id, 5L client_id, CAST(NULL AS INT) store_id, CAST(NULL AS DATE) date, 2L basket_size, "
+        "1L num_categories, array(named_struct('category_id', 3, 'quantity', 2L)) items"
+    )
+    row = features_of_baskets(odd).first()
+    assert (row.num_stores_visited, row.active_days, row.category_diversity, row.total_units) == (0, 0, 1, 2)
