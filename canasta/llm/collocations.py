@@ -82,7 +82,7 @@ def _keys(names: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 def _inside(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    cell = keys & np.uint64(CELLS - 1)
+    cell = keys & np.uint64(8 * len(bits) - 1)
     return (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
