@@ -235,3 +235,12 @@ def test_top_categories_per_segment(spark):
     assert sorted(tuple(r) for r in got.collect()) == [
         (0, "Categoría 6", 1, 2), (0, "five", 2, 1), (1, "Categoría 6", 1, 1),
     ]
+
+
+def test_short_segment_list_walks_all_rules(spark):
+    import __spark_entry__ as entry
+
+    tables, sf_dir = entry.queries(), "/root/testdata/sf0.01"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    full = tables["recommend_by_segment"](spark, sf_dir)
+    assert rows(tables["recommend_by_segment_short"](spark, sf_dir)) == rows(full.where("rank <= 5"))
