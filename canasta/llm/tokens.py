@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canasta.llm.shared import folder, small_batches, written
+from canasta.llm.words import chunks, texts_of
 
 LENGTH = 2048
 #: Sequences of a record batch.
 BATCH = 128
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
+#: Bytes of text that are encoded at once; a longer text alone.
+TOGETHER = 100_000
 
 #: Texts by which a vocabulary is tried for sure borders of pieces.
 TRIALS = [
@@ -115,7 +118,7 @@ class Encoder:
         fresh = dict(zip(plain, (raw[a * width : b * width] for a, b in spans), strict=True)) if plain else {}
         have |= fresh
         have |= {x: self._ids(x).tobytes() for x in new if x not in fresh}
-        if len(self.known) + len(fresh) <= REMEMBERED:
+        if len(self.known) + len(self.first) + len(fresh) <= REMEMBERED:
             self.known.update((x[1:], i) for x, i in fresh.items() if x[:1] == " ")
             self.first.update((x, i) for x, i in fresh.items() if x[:1] != " ")
         out = {p: have[own[0]] if len(own) == 1 else b"".join([have[x] for x in own]) for p, own in parts.items()}
@@ -172,6 +175,12 @@ def _encoder(*options) -> Encoder:
     return _encoders[options]
 
 
+def _by_parts(encode: Encoder, texts: pa.Array):
+    """Ids of ``texts``, a few at a time: the lists of their pieces take far more memory than the texts."""
+    for at, end in chunks(texts_of(texts)[1], TOGETHER):
+        yield from encode(texts.slice(at, end - at).to_pylist())
+
+
 class _Sequences:
     """Writes ids as sequences to one file."""
 
@@ -245,7 +254,7 @@ def write_sequences(
             out = _Sequences(sink, encode.type, length)
             for batch in batches:
                 names += batch.column(0).to_pylist()
-                for ids in encode(batch.column(1).to_pylist()):
+                for ids in _by_parts(encode, batch.column(1)):
                     starts.append(at)
                     at += len(ids)
                     out.add(ids)
@@ -291,6 +300,7 @@ def read_documents(manifest: DataFrame, path: str) -> DataFrame:
     """One row per document, from the files: doc_id, start over the whole data set, n_tokens, ids_crc32."""
 
     def read(batches):
+        _encoders.clear()  # the files are written; workers live on with what they remember
         fs, base = _store(path)
         for batch in batches:
             for part, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):

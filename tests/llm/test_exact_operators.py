@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -101,6 +102,24 @@ def test_special_strings_as_the_library_takes_them(spark):
         assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == want
 
 
+def test_encoders_remember_and_take_at_once_a_bounded_part(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    encode = tokens.Encoder(VOCABULARY, 0)
+    texts = [f"word{i} other{i}, and{i}" for i in range(400)] + ["long " * 50_000, None, ""]
+    whole = [x.tobytes() for x in tokens.Encoder(VOCABULARY, 0)(texts)]
+    at_once = []
+
+    def counted(part):
+        at_once.append(sum(len(t or "") for t in part))
+        return encode(part)
+
+    assert [x.tobytes() for x in tokens._by_parts(counted, pa.array(texts, pa.string()))] == whole
+    assert max(sorted(at_once)[:-1]) <= tokens.TOGETHER and len(at_once) >= 2
+    for i in range(200):
+        encode([f"first{i} x"])
+    assert len(encode.known) + len(encode.first) <= 50
+
+
 def test_a_vocabulary_that_does_not_cut_at_blanks(tmp_path):
     """A tokenizer whose words run over blanks is used on whole texts."""
     from tokenizers import Tokenizer, models
