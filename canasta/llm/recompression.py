@@ -31,7 +31,7 @@ LEAST_OF = 6
 
 def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
     words = words_of(data, offsets)
-    return Units(words.values, words.first)
+    return Units(words.values, words.first, words.start, words.end)
 
 
 def symbol_borders(units: Units, ranges: Ranges, rounds: int = ROUNDS):

@@ -2,17 +2,21 @@
 
 A text is a sequence of units (bytes or words). A method places anchors: places that are chosen by the
 units within a fixed radius around them alone, so that equal stretches carry equal anchors. A window
-belongs to the first anchor whose whole radius lies inside it, which equal windows agree on; a window
-without one stands for itself. The windows of one anchor are consecutive, and one row carries them all:
+belongs to one of the anchors whose whole radius lies inside it, the first or the one of least hash, which equal
+windows agree on; a window without one stands for itself. The windows of one anchor are consecutive, and one row
+carries them all:
 
 * ``kin``: hash of the radius, equal for all rows that hold an equal window,
 * ``whole``: hash of everything the windows cover, equal when all of them are.
 
-Rows whose kin is alone are done with, by one count and one join. Among rows with equal kin and whole, all
-but the earliest are repeats outright. Where one kin has several wholes (the ends of repeats), the
-earliest row of each lists its windows one by one, and these are compared by their hashes.
+The rows are shuffled once, by kin, and rows whose kin is alone are done with. Among rows with equal kin and whole,
+all but the earliest are repeats outright. Where one kin has several wholes (the ends of repeats), the
+earliest row of each goes on with the text its windows cover, and the windows of a kin are compared by their hashes
+in the task that has the kin. Kins of more than ``LARGE`` rows list their windows one by one instead, and
+these are grouped over all tasks.
 
-Counts and minima combine in the map tasks, and joins with a hot side are split by adaptive execution.
+Rows that repeat one of the same stretch of texts are told at once, so a hot kin has few rows of each task where starts in
+the same document count. Texts are shuffled once, for both joins with their runs.
 Hashes of windows are only compared among rows of equal kin: 128 bits decide.
 
 Repeated ids: rows with equal id are ordered by a hash of the text; rows with equal id and text are one
@@ -26,23 +30,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canasta.llm.shared import numbered, small_batches, written
-from canasta.llm.words import Ranges, chunks, texts_of
-from canasta.session import broadcast_if_small
+from canasta.llm.words import Ranges, chunks, mixed, texts_of, window_starts
 
 #: Beyond any place in a text.
 FAR = 1 << 60
+#: Rows of a kin up to which one task compares its windows.
+LARGE = 20_000
+#: Rows whose windows are compared at once.
+COMPARED_TOGETHER = 5_000
+
+_TOP = np.iinfo(np.uint64).max
+_PLACE = np.uint64(32)
 
 
 @dataclass
 class Units:
-    """Values of the units of consecutive texts; ``first[i]`` to ``first[i + 1]`` are those of text i."""
+    """Values of the units of consecutive texts; ``first[i]`` to ``first[i + 1]`` are those of text i.
+    ``start`` and ``end`` are their bytes, counted from the first text; without them each byte is a unit."""
 
     values: np.ndarray
     first: np.ndarray
+    start: np.ndarray | None = None
+    end: np.ndarray | None = None
+
+    def bytes_of(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the units from ``low`` up to ``high`` begin and end."""
+        return (low, high) if self.start is None else (self.start[low], self.end[high - 1])
 
 
 @dataclass(frozen=True)
@@ -59,6 +76,7 @@ class Method:
     right: int
     window: int
     within: bool  # whether an earlier start in the same document counts
+    least: bool = False  # whether the anchor of least hash owns a window, or the first
 
 
 def smallest_within(places: np.ndarray, ranks: np.ndarray, n: int, reach: int) -> np.ndarray:
@@ -110,6 +128,41 @@ def owned_windows(units: Units, method: Method, places: np.ndarray):
     )
 
 
+def windows_of_least(units: Units, method: Method, places: np.ndarray, ranges: Ranges):
+    """As ``owned_windows``, where the anchor of least hash owns a window, of equal ones the first."""
+    size = len(units.values) + 1
+    places = places[(places >= method.left) & (places + method.right < size)]
+    hashes = ranges(places - method.left, places + method.right) >> _PLACE << _PLACE
+    low = np.full(size + method.window, _TOP, np.uint64)
+    low[places] = hashes | places.astype(np.uint64)
+    low = low[method.left :]
+    inside = method.window - method.left - method.right + 1
+    width = 1
+    while width < inside:
+        step = min(width, inside - width)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        width += step
+    starts = window_starts(units.first, method.window)
+    own = low[starts]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1) | (own[1:] == _TOP)
+    at = np.flatnonzero(new)
+    own = own[at]
+    owner = np.where(own == _TOP, -1, (own & np.uint64((1 << 32) - 1)).astype(np.int64))
+    return owner, starts[at], starts[np.append(at, len(starts))[1:] - 1]
+
+
+def _repeated_here(kin, whole, doc, low) -> np.ndarray:
+    """Which rows have an earlier one of equal kin and whole among them."""
+    order = np.lexsort((low, doc, whole, kin))
+    same = (kin[order][1:] == kin[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+    # a document that comes twice is the same place, not a repeat
+    again = (doc[order][1:] == doc[order][:-1]) & (low[order][1:] == low[order][:-1])
+    out = np.zeros(len(kin), bool)
+    out[order[1:]] = same & ~again
+    return out
+
+
 def _kin(owner, low, ranges: Ranges, method: Method) -> np.ndarray:
     alone = owner < 0
     start = np.where(alone, low, owner - method.left)
@@ -121,8 +174,9 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def window_rows(docs: DataFrame, method: Method, only_kin: bool) -> DataFrame:
-    """Rows of windows of every document (doc, text): kin, and unless ``only_kin`` whole, doc, low, n."""
+def window_rows(docs: DataFrame, method: Method) -> DataFrame:
+    """Rows of windows of every document (doc, text): kin, whole, doc, low, n. Where a row surely repeats an earlier
+    one, whole is null and kin is any."""
 
     def rows(batches):
         for batch in batches:
@@ -131,25 +185,104 @@ def window_rows(docs: DataFrame, method: Method, only_kin: bool) -> DataFrame:
             for at, end in chunks(offsets):
                 units = method.units(data, offsets[at : end + 1])
                 ranges = Ranges(units.values)
-                owner, low, high = owned_windows(units, method, method.anchors(units, ranges))
-                kin = _kin(owner, low, ranges, method)
-                if only_kin:
-                    yield pa.RecordBatch.from_arrays([_long(kin)], ["kin"])
-                    continue
+                places = method.anchors(units, ranges)
+                owner, low, high = windows_of_least(units, method, places, ranges) if method.least else owned_windows(units, method, places)
+                kin, whole = _kin(owner, low, ranges, method), ranges(low, high + method.window)
                 text = np.searchsorted(units.first, low, side="right") - 1
+                doc, start = ids[at + text], low - units.first[text]
+                sure = _repeated_here(kin, whole, doc, start) if method.within else np.zeros(len(kin), bool)
+                kin = np.where(sure, mixed(doc.view(np.uint64) ^ mixed(start.astype(np.uint64))), kin)
                 yield pa.RecordBatch.from_arrays(
                     [
                         _long(kin),
-                        _long(ranges(low, high + method.window)),
-                        pa.array(ids[at + text]),
-                        pa.array((low - units.first[text]).astype(np.int32)),
+                        pa.array(whole.view(np.int64), mask=sure),
+                        pa.array(doc),
+                        pa.array(start.astype(np.int32)),
                         pa.array((high - low + 1).astype(np.int32)),
                     ],
                     ["kin", "whole", "doc", "low", "n"],
                 )
 
-    kinds = "kin long" if only_kin else "kin long, whole long, doc long, low int, n int"
-    return docs.mapInArrow(rows, kinds)
+    return docs.mapInArrow(rows, "kin long, whole long, doc long, low int, n int")
+
+
+def _runs_of(runs: pa.Array):
+    """Borders of the rows and fields of a column of lists of structs."""
+    border = np.concatenate([[0], np.cumsum(np.diff(runs.offsets.to_numpy()))])
+    flat = runs.flatten()
+    return border, [flat.field(i).to_numpy() for i in range(flat.type.num_fields)]
+
+
+def covered_texts(texts: DataFrame, method: Method) -> DataFrame:
+    """kin, doc, low and what its windows cover, of every run of texts (doc_id, doc, text, runs of kin, low and n)."""
+
+    def rows(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column(3).is_valid())
+            ids = batch.column(1).to_numpy()
+            data, offsets = texts_of(batch.column(2))
+            border, (kin, low, n) = _runs_of(batch.column(3))
+            for at, end in chunks(offsets):
+                part = data[offsets[at] : offsets[end]]
+                units = method.units(data, offsets[at : end + 1])
+                own = slice(border[at], border[end])
+                text = np.repeat(np.arange(end - at), np.diff(border[at : end + 1]))
+                first = units.first[text] + low[own]
+                start, stop = units.bytes_of(first, first + n[own] + method.window - 1)
+                whole = part.tobytes()
+                bodies = [whole[s:e] for s, e in zip(start.tolist(), stop.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kin[own]), pa.array(ids[at + text]), pa.array(low[own]), pa.array(bodies, pa.binary())],
+                    ["kin", "doc", "low", "body"],
+                )
+
+    return texts.mapInArrow(rows, "kin long, doc long, low int, body binary")
+
+
+def _late(table: pa.Table, method: Method) -> pa.RecordBatch:
+    """doc and runs (low, n) of the windows of covered texts that occur earlier among those of their kin."""
+    kin, doc, low = (table.column(i).to_numpy() for i in range(3))
+    units = method.units(*texts_of(table.column(3).combine_chunks()))
+    starts = window_starts(units.first, method.window)
+    value = Ranges(units.values)(starts, starts + method.window)
+    row = np.searchsorted(units.first, starts, side="right") - 1
+    kin, doc, low = kin[row], doc[row], low[row] + (starts - units.first[row])
+    order = np.lexsort((low, doc, value, kin))
+    begins = np.ones(len(order), bool)
+    begins[1:] = (np.diff(kin[order]) != 0) | (value[order][1:] != value[order][:-1])
+    least = order[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))]
+    later = doc[order] != doc[least]
+    if method.within:
+        later |= low[order] != low[least]
+    at = np.sort(order[later])
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(row[at]) != 0)
+    begin = np.flatnonzero(new)
+    n = np.diff(np.append(begin, len(at)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[at[begin]]), pa.array(low[at[begin]].astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "low", "n"]
+    )
+
+
+def late_windows(bodies: DataFrame, method: Method, together: int = COMPARED_TOGETHER) -> DataFrame:
+    """doc, low, n of the runs of windows that occur earlier, from covered texts."""
+
+    def rows(batches):
+        waiting, count, enough = [], 0, together
+        for batch in batches:
+            waiting.append(batch)
+            count += batch.num_rows
+            if count >= enough:
+                table = pa.Table.from_batches(waiting).combine_chunks()
+                border = int(np.searchsorted(table.column(0).to_numpy(), table.column(0)[-1].as_py()))
+                if border:
+                    yield _late(table.slice(0, border), method)
+                waiting, count = table.slice(border).to_batches(), count - border
+                enough = max(together, 2 * count)
+        if count:
+            yield _late(pa.Table.from_batches(waiting), method)
+
+    return bodies.repartition("kin").sortWithinPartitions("kin").mapInArrow(rows, "doc long, low int, n int")
 
 
 def single_windows(texts: DataFrame, method: Method) -> DataFrame:
@@ -159,10 +292,7 @@ def single_windows(texts: DataFrame, method: Method) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = texts_of(batch.column(1))
-            runs = batch.column(2)
-            flat = runs.flatten()
-            border = np.concatenate([[0], np.cumsum(np.diff(runs.offsets.to_numpy()))])
-            kin, low, n = (flat.field(i).to_numpy() for i in range(3))
+            border, (kin, low, n) = _runs_of(batch.column(2))
             for at, end in chunks(offsets):
                 units = method.units(data, offsets[at : end + 1])
                 own = slice(border[at], border[end])
@@ -194,30 +324,38 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return written(found.select("doc_id", "doc", "text"), "numbered")
 
 
+def told_rows(docs: DataFrame, method: Method) -> DataFrame:
+    """Rows of windows that may occur earlier: kin, doc, low, n, later (they do) and large (kins of many rows)."""
+    of_kin = Window.partitionBy("kin")
+    rows = window_rows(docs, method).repartition("kin").select(
+        "*",
+        F.count(F.lit(1)).over(of_kin).alias("c"),
+        (F.min("whole").over(of_kin) != F.max("whole").over(of_kin)).alias("several"),
+    )
+    rows = rows.where("c > 1 or whole is null")
+    before = Window.partitionBy("kin", "whole").orderBy(*(["doc", "low"] if method.within else ["doc"]))
+    rows = rows.select("*", (F.col("whole").isNull() | (F.rank().over(before) > 1)).alias("later"))
+    kin = F.when(~F.col("later"), F.col("kin")).alias("kin")
+    return rows.where("later or several").select(kin, "doc", "low", "n", "later", (F.col("c") > LARGE).alias("large"))
+
+
 def repeated_runs(texts: DataFrame, method: Method) -> DataFrame:
     """doc and its runs (low, n) of starts of windows that occur earlier; documents with any."""
     small_batches(texts.sparkSession)
-    docs = texts.select("doc", "text")
-    shared = window_rows(docs, method, True).groupBy("kin").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("kin")
-    rows = written(window_rows(docs, method, False).join(shared, "kin"), "kin")
-    groups = written(
-        rows.groupBy("kin", "whole").agg(F.min(F.struct("doc", "low")).alias("least")), "wholes"
-    )
-    several = groups.groupBy("kin").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("kin", F.lit(True).alias("several"))
-    told = rows.join(groups, ["kin", "whole"]).select("kin", "doc", "low", "n", _later(method).alias("later"))
-    told = written(told.where("later").select(F.lit(0).cast("long").alias("kin"), "doc", "low", "n", "later").union(
-        told.where("not later").join(several, "kin").select("kin", "doc", "low", "n", "later")
-    ), "told")
-    open_runs = told.where("not later").distinct().groupBy("doc").agg(F.collect_list(F.struct("kin", "low", "n")).alias("runs"))
-    open_runs = written(open_runs, "open")
-    some = docs.join(broadcast_if_small(open_runs.select("doc")), "doc", "left_semi")
-    windows = written(single_windows(some.join(open_runs, "doc").select("doc", "text", "runs"), method), "windows")
-    first = windows.groupBy("kin", "hash").agg(F.min(F.struct("doc", "low")).alias("least"), F.count(F.lit(1)).alias("c"))
-    first = first.where("c > 1").drop("c")
-    late = windows.join(first, ["kin", "hash"]).where(_later(method)).select("doc", "low", F.lit(1).alias("n"))
-    return told.where("later").select("doc", "low", "n").union(late).groupBy("doc").agg(
-        F.collect_set(F.struct("low", "n")).alias("runs")
-    )
+    told = written(told_rows(texts.select("doc", "text"), method), "told")
+    runs = F.collect_set(F.struct("kin", "low", "n")).alias("runs")
+    open_runs = told.where("not later and not large").groupBy("doc").agg(runs)
+    # all columns of the texts, as in ``with_runs``: both joins use one exchange
+    some = texts.join(open_runs, "doc", "left").select("doc_id", "doc", F.when(F.col("runs").isNotNull(), F.col("text")).alias("text"), "runs")
+    late = told.where("later").select("doc", "low", "n").union(late_windows(covered_texts(some, method), method))
+    many = told.where("not later and large")
+    if not many.isEmpty():
+        windows = texts.join(many.groupBy("doc").agg(runs), "doc").select("doc", "text", "runs")
+        windows = written(single_windows(windows, method), "windows")
+        first = windows.groupBy("kin", "hash").agg(F.min(F.struct("doc", "low")).alias("least"), F.count(F.lit(1)).alias("c"))
+        first = first.where("c > 1").drop("c")
+        late = late.union(windows.join(first, ["kin", "hash"]).where(_later(method)).select("doc", "low", F.lit(1).alias("n")))
+    return late.groupBy("doc").agg(F.collect_set(F.struct("low", "n")).alias("runs"))
 
 
 def _later(method: Method):

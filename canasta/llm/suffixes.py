@@ -18,14 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from canasta.llm.repeats import FAR, Method, Units, borders_of, covered, keyed, smallest_within, with_runs
+from canasta.llm.repeats import FAR, Method, Units, borders_of, covered, keyed, with_runs
 from canasta.llm.words import BYTE_VALUES, Ranges, texts_of
 
 WINDOW = 100
 LEVELS = 1
-#: Bytes to either side that may decide a kept place, and that it is the least of.
+#: Bytes to either side that may decide a kept place, and that its hash takes in.
 DECIDED_BY = 3
-LEAST_OF = 13
+RADIUS = 16
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> Units:
@@ -52,12 +52,10 @@ def kept_places(units: Units, ranges: Ranges, levels: int = LEVELS):
 
 def anchors(units: Units, ranges: Ranges) -> np.ndarray:
     at, back, ahead = kept_places(units, ranges)
-    sure = at[(back >= at - DECIDED_BY) & (ahead <= at + DECIDED_BY)]
-    ranks = ranges(sure - DECIDED_BY, sure + DECIDED_BY)
-    return smallest_within(sure, ranks, len(units.values) + 1, LEAST_OF)
+    return at[(back >= at - DECIDED_BY) & (ahead <= at + DECIDED_BY)]
 
 
-METHOD = Method(byte_units, anchors, DECIDED_BY + LEAST_OF, DECIDED_BY + LEAST_OF, WINDOW, True)
+METHOD = Method(byte_units, anchors, RADIUS, RADIUS, WINDOW, True, True)
 
 
 def kept_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

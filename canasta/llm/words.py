@@ -90,8 +90,8 @@ class Words:
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string column and the offsets of its rows; a null row is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """Bytes of a string or binary column and the offsets of its rows; a null row is empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from canasta.llm import mixing, recompression, sharding, suffixes, syncmers, tokens
+from canasta.llm import mixing, recompression, repeats, sharding, suffixes, syncmers, tokens
 from canasta.llm.shared import folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -255,6 +255,37 @@ def test_repeated_words(corpus):
     assert got == brute_words(docs)
 
 
+def test_kins_of_many_rows_list_their_windows(corpus, monkeypatch):
+    monkeypatch.setattr(repeats, "LARGE", 0)
+    docs = [(r["doc_id"], r["text"] or "") for r in corpus.orderBy("doc_id").collect()]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.kept_bytes(corpus).collect()}
+    assert got == brute_bytes(docs)
+
+
+def test_windows_of_a_kin_are_compared_whole(spark):
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 99, 6)) + b"x" * 96 + bytes(rng.integers(97, 99, 5)) for _ in range(60)]
+    rows = [(i % 3, i, 0, t) for i, t in enumerate(texts)]
+    expected, seen = set(), set()
+    for kin, doc, _, t in rows:
+        for at in range(len(t) - 99):
+            if (kin, t[at : at + 100]) in seen:
+                expected.add((doc, at))
+            seen.add((kin, t[at : at + 100]))
+    bodies = spark.createDataFrame([(k, d, lo, bytearray(t)) for k, d, lo, t in rows], "kin long, doc long, low int, body binary")
+    for together in (1, 7, 5000):
+        found = repeats.late_windows(bodies, suffixes.METHOD, together).collect()
+        assert {(r["doc"], r["low"] + i) for r in found for i in range(r["n"])} == expected and expected
+
+
+def test_rows_of_windows_are_few(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghij klmnop", k=5000)) for _ in range(40)]
+    rows = repeats.window_rows(spark.createDataFrame(list(enumerate(texts)), "doc long, text string"), suffixes.METHOD)
+    assert rows.agg(F.sum("n")).first()[0] == 40 * 4901
+    assert rows.count() < 40 * 4901 / 28  # about 1 of 24 when the first anchor of least hash nearby owned a window
+
+
 def test_equal_stretches_carry_equal_anchors():
     rng = np.random.default_rng(3)
     for method, size in ((recompression.METHOD, 400), (suffixes.METHOD, 900)):
